@@ -99,7 +99,7 @@ def order_minhash(text: Column, m: int = M, k: int = K, l: int = L) -> Column:
         """e: sorted elements, so the parts by top bits are slices."""
         parts = F.transform(e, lambda x: F.shiftright(x, _PART_SHIFT).cast("int"))
 
-        def pick(part: Column, present: Column, begins: Column) -> Column:
+        def pick(present: Column, begins: Column) -> Column:
             picked = []
             for c in _constants(m):
                 p = F.array_position(present, F.lit(c >> _PART_SHIFT)).cast("int")
@@ -111,11 +111,8 @@ def order_minhash(text: Column, m: int = M, k: int = K, l: int = L) -> Column:
         return _let(
             parts,
             lambda part: _let(
-                F.array_distinct(part),
-                lambda present: _let(
-                    F.transform(present, lambda v: F.array_position(part, v).cast("int")),
-                    lambda begins: pick(part, present, begins),
-                ),
+                F.filter(F.sequence(F.lit(1), F.size(part)), lambda i: ~F.coalesce(F.get(part, i - 1) == F.get(part, i - 2), F.lit(False))),
+                lambda begins: _let(F.transform(begins, lambda i: F.get(part, i - 1)), lambda present: pick(present, begins)),
             ),
         )
 
@@ -144,7 +141,8 @@ def _slot(part: Column, constant: int, l: int) -> Column:  # noqa: E741
             forward = F.coalesce(a.bitwiseAND(F.lit(_PLACE)) <= b.bitwiseAND(F.lit(_PLACE)), F.lit(True))
             return F.when(forward, F.xxhash64(ha, hb)).otherwise(F.xxhash64(hb, ha))
 
-        return _let(chosen, pair)
+        # the outer hash has a fixed type, which Spark asks for at every call
+        return F.xxhash64(_let(chosen, pair))
     # place first, so that sorting restores the order in the text
     placed = F.transform(
         chosen,
