@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, sharding
+from . import decontam, fingerprints, langid, packing, sharding
+
+
+def vocabulary() -> str:
+    """Path of the byte-level vocabulary that packing counts tokens by."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +25,21 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those not held out."""
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents share with the benchmark."""
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 16 shards, and over 17."""
     return sharding.shard_records(_table(spark, sf_dir, "documents"), 16)
@@ -25,7 +47,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_packing": op2_packing,
+    "op6_langid": op6_langid,
     "op8_sharding": op8_sharding,
+    "op10_decontam": op10_decontam,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -42,5 +42,6 @@ def materialize(df: DataFrame) -> DataFrame:
 def arrow_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes unless the session has set its own bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "-1")) in (-1, 0, 2**31 - 1, 2**63 - 1):
+    now = spark.conf.get(key)  # such as 16777216 or 16777216b
+    if int("".join(c for c in now if c.isdigit())) >= 2**31 - 1:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))

@@ -192,3 +192,38 @@ def ngram_rows(w: Words, hashes: np.ndarray, length: int, whole: bool = False) -
             order = np.argsort(rows, kind="stable")
             grams, rows = grams[order], rows[order]
     return grams, rows
+
+
+def with_columns(df, text: str, add, fields: list[tuple[str, str]], keep: list[str] | None = None):
+    """``df`` with columns that ``add`` derives from chunks of texts.
+
+    ``add(data, offsets)`` gets a chunk's UTF-8 bytes and row offsets and
+    returns an Arrow array for each of ``fields`` (name, SQL type).  ``keep``
+    names the columns of ``df`` that pass through (all by default); new names
+    take the place of equal ones.
+    """
+    from pyspark.sql import types as T
+
+    from .scratch import arrow_batches
+
+    arrow_batches(df.sparkSession)
+    names = [n for n, _ in fields]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
+    new = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
+    schema = T.StructType([*(df.schema[c] for c in keep), *new])
+    # the text gets a position of its own, whatever else passes through
+    source = df.select(*[_quoted(c) for c in keep], _quoted(text).alias("_text"))
+
+    def run(batches):
+        for part in chunks(batches, "_text"):
+            data, offsets = text_bytes(part.column("_text"))
+            added = add(data, offsets)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *added], [*keep, *names])
+
+    return source.mapInArrow(run, schema)
+
+
+def _quoted(name: str):
+    from pyspark.sql import functions as F
+
+    return F.col("`" + name.replace("`", "``") + "`")
