@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, langid, packing, sharding
+from . import decontam, fingerprints, jaccard, langid, packing, sharding
 
 
 def vocabulary() -> str:
@@ -35,6 +35,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of all documents at five words and 0.8."""
+    return jaccard.join_similar(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all documents share with the benchmark."""
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op6_langid": op6_langid,
     "op8_sharding": op8_sharding,
+    "op9_jaccard": op9_jaccard,
     "op10_decontam": op10_decontam,
 }
 
