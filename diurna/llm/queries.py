@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, langid, packing, sharding
+from . import decontam, fingerprints, jaccard, langid, packing, sharding, urlfilter
 
 
 def vocabulary() -> str:
@@ -30,6 +31,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+#: Rules of host and path; the longest that fits decides.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on all page URLs.
+
+    The tables have no block list, so one stands in that is fixed by rule: the
+    canonical URLs whose SHA-256 begins with two zeros, one in 256.
+    """
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.select("url").filter(F.sha2(F.encode(urlfilter.canonical(F.col("url")), "UTF-8"), 256).startswith("00"))
+    return urlfilter.filter_urls(pages, URL_RULES, listed)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those not held out."""
     return langid.predict(_table(spark, sf_dir, "documents"))
@@ -53,10 +75,76 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op4_urlfilter": op4_urlfilter,
     "op6_langid": op6_langid,
     "op8_sharding": op8_sharding,
     "op9_jaccard": op9_jaccard,
     "op10_decontam": op10_decontam,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_urlfilter": r"""
+WITH parts AS (
+  SELECT page_id, url,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(coalesce(url, ''), '://[^?#]*[?]([^#]*)', 1) AS query
+  FROM pages),
+named AS (
+  SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS kept FROM parts),
+canon AS (
+  SELECT page_id, url, host, path,
+    regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '')
+      || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical
+  FROM named),
+rules(verdict, rule, rule_host, rule_path) AS (VALUES
+  ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+  ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+fits AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM canon, rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT c.page_id, c.host, c.path, c.canonical,
+  coalesce(c.url IS NOT NULL AND starts_with(sha256(c.canonical), '00'), false) AS listed,
+  f.rule,
+  coalesce(f.verdict, CASE WHEN c.url IS NOT NULL AND starts_with(sha256(c.canonical), '00') THEN 'block' ELSE 'allow' END) AS verdict
+FROM canon c LEFT JOIN fits f USING (page_id)
+""",
+    "op10_decontam": rf"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+windows AS (
+  SELECT item, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS text
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS text
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, i, n, item FROM spots JOIN windows USING (n, text)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM found GROUP BY doc_id),
+-- a run of occurrences on one diagonal of one item is one match
+diagonal AS (
+  SELECT DISTINCT s.doc_id, s.i, s.n, x.item, s.i - x.j AS shift
+  FROM spots s JOIN (
+    SELECT item, j, least(len(w), 13) AS n, array_to_string(w[j : j + least(len(w), 13) - 1], ' ') AS text
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS j FROM b WHERE len(w) > 0)) x USING (n, text)),
+runs AS (
+  SELECT doc_id, item, min(i) AS place, max(i) - min(i) + any_value(n) AS words
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, shift ORDER BY i) AS run FROM diagonal)
+  GROUP BY doc_id, item, shift, run),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, CAST(item AS BIGINT), place) AS best_first FROM runs) WHERE best_first = 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+  sha256(coalesce(t.ids, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated,
+  coalesce(m.words, 0) AS match_words, m.item AS match_item, m.place - 1 AS match_at
+FROM d LEFT JOIN hit h USING (doc_id) LEFT JOIN items t USING (doc_id) LEFT JOIN best m USING (doc_id)
+""",
+}
