@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, langid, packing, sharding, urlfilter
+from . import decontam, fingerprints, jaccard, langid, lm, packing, sharding, urlfilter
 
 
 def vocabulary() -> str:
@@ -57,6 +57,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's and the exact unigram score of all documents."""
+    return lm.score_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of all documents at five words and 0.8."""
     return jaccard.join_similar(_table(spark, sf_dir, "documents"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_urlfilter": op4_urlfilter,
     "op6_langid": op6_langid,
+    "op7_lm": op7_lm,
     "op8_sharding": op8_sharding,
     "op9_jaccard": op9_jaccard,
     "op10_decontam": op10_decontam,
