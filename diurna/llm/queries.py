@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, langid, lm, packing, sharding, urlfilter
+from . import decontam, fingerprints, jaccard, langid, lm, packing, sharding, toxicity, urlfilter
 
 
 def vocabulary() -> str:
@@ -31,6 +31,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels not held out."""
+    return toxicity.predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 #: Rules of host and path; the longest that fits decides.
 URL_RULES = [
     ("allow", "com/"),
@@ -80,6 +85,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_urlfilter": op4_urlfilter,
     "op6_langid": op6_langid,
     "op7_lm": op7_lm,
