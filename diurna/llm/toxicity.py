@@ -30,7 +30,7 @@ MAX_LABELLED = 40_000
 MAX_LEXICON = 4_000
 #: Least log-likelihood ratio of an entry against the share of toxic texts.
 MIN_EVIDENCE = 30.0
-PREFIXES = (4, 5, 6)  # bytes of a word's beginning
+PREFIXES = (4, 5, 6, 7, 8, 10)  # bytes of a longer word's beginning
 NEAR = 6  # words
 TREES, DEPTH = 20, 4
 
@@ -82,7 +82,8 @@ def _plain_words(data: np.ndarray, offsets: np.ndarray):
     body = plain[keep]
     a, b = place[w.start], place[end]
     full = span_hashes(body, a, b, _VALUES)
-    begins = [(span_hashes(body, a, np.minimum(a + n, b), _VALUES), b - a > n) for n in PREFIXES]
+    # beginnings and whole words are told apart
+    begins = [(~span_hashes(body, a, np.minimum(a + n, b), _VALUES), b - a > n) for n in PREFIXES]
     return w, end, letters, full, begins
 
 
