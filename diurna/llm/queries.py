@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, langid, lm, packing, sharding, toxicity, urlfilter
+from . import decontam, fingerprints, jaccard, langid, lm, packing, pii, sharding, toxicity, urlfilter
 
 
 def vocabulary() -> str:
@@ -57,6 +57,12 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, URL_RULES, listed)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those not held out."""
     return langid.predict(_table(spark, sf_dir, "documents"))
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_urlfilter": op4_urlfilter,
+    "op5_pii": op5_pii,
     "op6_langid": op6_langid,
     "op7_lm": op7_lm,
     "op8_sharding": op8_sharding,
