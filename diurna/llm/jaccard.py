@@ -363,4 +363,7 @@ def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     Of rows that repeat that key with texts of the class, one stays.
     """
     found = join_similar(docs, key, text, **options).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(found, docs[key] == F.col("_kept"), "left_semi").dropDuplicates([key])
+    kept = docs.join(found, docs[key] == F.col("_kept"), "left_semi")
+    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # texts are compared only where keys do repeat
+    return kept if repeated.isEmpty() else kept.dropDuplicates([key])

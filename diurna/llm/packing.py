@@ -29,8 +29,8 @@ END_ID = 2
 #: Buckets in which the pieces of one length are ranked.
 RANK_BUCKETS = 256
 #: Distinct words whose ids a worker keeps; it starts afresh beyond.
-CACHE_WORDS = 1 << 20
-_CHUNK = 2 << 20
+CACHE_WORDS = 1 << 19
+_CHUNK = (1 << 20) - 2
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _UNKNOWN = 0, 1, 2, 3, 4
 
@@ -107,8 +107,8 @@ class WordIds:
     path: str
     ready: bool = False
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    start: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
 
     def _open(self) -> None:
@@ -137,8 +137,8 @@ class WordIds:
         keys = np.concatenate([self.keys, hashes])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        self.start = np.concatenate([self.start, start.astype(np.uint32)])[order]
+        self.count = np.concatenate([self.count, count.astype(np.uint32)])[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and each row's number of ids."""
@@ -173,7 +173,7 @@ class WordIds:
             pick = some[new]
             self._learn(known[new], [text[a:b] for a, b in zip(begin[pick].tolist(), end[pick].tolist(), strict=True)])
             at = np.searchsorted(self.keys, known)
-        count, start = self.count[at][inverse], self.start[at][inverse]
+        count, start = self.count[at][inverse].astype(np.int64), self.start[at][inverse].astype(np.int64)
         total = int(count.sum())
         inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
         ids = self.ids[np.repeat(start, count) + inside]

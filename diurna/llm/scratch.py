@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Most bytes of one Arrow batch, so that long texts don't fill a worker.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 _LOCAL: dict[str, str] = {}
 
 

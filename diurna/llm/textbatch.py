@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once inside a task; one longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (1 << 20) - 2
 
 _U64 = np.uint64
 
@@ -49,8 +49,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the hash step and of its inverse; kept while small."""
     size = 1 << max(16, int(n - 1).bit_length())
     if size not in _powers:
-        if len(_powers) > 2:
-            _powers.clear()
+        _powers.clear()  # one size is in use but for very long texts
         with np.errstate(over="ignore"):
             up = np.full(size, _STEP, dtype=_U64)
             up[0] = 1

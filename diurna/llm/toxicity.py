@@ -131,8 +131,9 @@ def learn_lexicon(labelled: DataFrame, text: str, label: str) -> Lexicon:
             new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
             keys, docs = keys[new], docs[new]
             held.append((keys, np.ones(len(keys)), y[docs].astype(float)))
-            held = [merged()]
-        for keys, a, b in held:
+            if len(held) >= 16:
+                held = [merged()]
+        for keys, a, b in [merged()] if held else []:
             for i in range(0, len(keys), 200_000):
                 s = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[s]).view(np.int64)), pa.array(a[s].astype(np.int64)), pa.array(b[s].astype(np.int64))], ["h", "n", "t"])
