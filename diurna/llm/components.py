@@ -26,11 +26,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # a table of its own: the join then has an exchange that skew handling can split
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter(F.col("a") != F.col("b")).distinct()
         # every edge now points from the larger to the smaller node
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large)
+        down = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         now = materialize(small.filter(F.col("a") != F.col("b")).distinct())
         then, mark = mark, _mark(now)

@@ -177,9 +177,12 @@ def fingerprint(docs: DataFrame, text: str = "text", m: int = M, k: int = K, l:
     return docs.withColumn("fingerprint", to_string(order_minhash(F.col(text), m, k, l)))
 
 
-def with_next(docs: DataFrame, order: str, columns: list[str], partitions: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, order: str, columns: list[str], derive=None, partitions: int | None = None) -> DataFrame:
     """Add ``next_<column>`` of the row that follows in ``order``, cyclically.
 
+    ``derive`` adds costly columns to a table; it is applied to all rows once
+    and to the first rows of ranges, not while those are being looked for.
+
     Rows are cut into ranges of ``order`` at approximate quantiles; within a
     range a window finds the next row, and the last row of a range gets the
     first of the next range that has rows.  Only those first rows, one for each
@@ -189,15 +192,18 @@ def with_next(docs: DataFrame, order: str, columns: list[str], partitions: int |
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.select(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
     edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    ranged = docs.withColumn("_range", F.when(F.col(order).isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda c: c < F.col(order)))))
+    derive = derive or (lambda df: df)
+    plain = docs.withColumn("_range", F.when(F.col(order).isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda c: c < F.col(order)))))
     keys = [F.col(order).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns]]
     w = Window.partitionBy("_range").orderBy(*keys)
-    follow = F.struct(*columns)
-    inside = ranged.withColumn("_next", F.lead(follow).over(w))
-    heads = ranged.groupBy("_range").agg(F.min_by(follow, F.struct(F.col(order).isNotNull(), F.col(order), *columns)).alias("_head"))
+    ranged = derive(plain)
+    follow = [c for c in ranged.columns if c not in (order, "_range")]
+    inside = ranged.withColumn("_next", F.lead(F.struct(*follow)).over(w))
+    first = plain.groupBy("_range").agg(F.min_by(F.struct(*columns), F.struct(F.col(order).isNotNull(), F.col(order), *columns)).alias("_row"))
+    heads = derive(first.select("_range", "_row.*"))
     # one row for each range, so n at most
     ring = heads.select(
-        F.coalesce(F.lag("_range").over(Window.orderBy("_range")), F.lit(-1)).alias("_range"), "_head"
+        F.coalesce(F.lag("_range").over(Window.orderBy("_range")), F.lit(-1)).alias("_range"), F.struct(*follow).alias("_head")
     )
     last = heads.agg(F.max("_range").alias("_last"))
     ring = ring.crossJoin(F.broadcast(last)).select(
@@ -205,7 +211,7 @@ def with_next(docs: DataFrame, order: str, columns: list[str], partitions: int |
     )
     joined = inside.join(F.broadcast(ring), "_range", "left")
     nxt = F.coalesce(F.col("_next"), F.col("_head"))
-    return joined.select("*", *[nxt[c].alias(f"next_{c}") for c in columns]).drop("_range", "_next", "_head")
+    return joined.select("*", *[nxt[c].alias(f"next_{c}") for c in follow]).drop("_range", "_next", "_head")
 
 
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,8 +222,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     One row gives itself as its next; an empty table gives no rows.
     """
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    prints = fingerprint(base)
-    ahead = with_next(prints, "doc_id", ["text", "fingerprint"])
+    ahead = with_next(base, "doc_id", ["text"], fingerprint)
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - cut), F.substr(F.col("next_text"), F.lit(1), cut))

@@ -360,10 +360,13 @@ def join_similar(
 def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class stays: the one of the least key.
 
-    Of rows that repeat that key with texts of the class, one stays.
+    Of rows that repeat that key one stays.  Rows of a null key can't be told
+    apart and all stay.
     """
     found = join_similar(docs, key, text, **options).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("_kept")).distinct()
     kept = docs.join(found, docs[key] == F.col("_kept"), "left_semi")
-    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # texts are compared only where keys do repeat
-    return kept if repeated.isEmpty() else kept.dropDuplicates([key])
+    repeated = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():  # rows are compared only where keys do repeat
+        kept = kept.dropDuplicates([key])
+    unnamed = docs.filter(F.col(key).isNull())
+    return kept if unnamed.isEmpty() else kept.unionByName(unnamed)
