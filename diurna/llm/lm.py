@@ -2,12 +2,10 @@
 
 The filter holds n-gram counts in logarithmic steps: an n-gram of level q is
 inserted as (n-gram, 1) to (n-gram, q), and probed level by level until a miss.
-It goes to every worker, so its size needs a bound: it holds the unigrams and
-bigrams that make up at least ``MIN_SHARE`` of the training tokens.  Shares sum
-to 1, so there are at most ``1 / MIN_SHARE`` of each, whatever the corpus, and
-at most ``b / (b - 1)`` levels for each on average.  All counting covers all
-training texts; the tokens below that share stay in the model as one class, of
-known mass and known number.
+It holds every unigram and bigram of the training texts, so it grows with them.
+An n-gram's hash names its segment, where all its levels lie.  Runs of segments
+are broadcast as blocks of bounded size; a worker reads a stretch of texts, then
+probes one block after the other, so it never holds more than one of them.
 
 Beside the model's score stands an exact smoothed unigram score.  Frequent
 tokens' counts, again bounded by a share, go to the workers; the others are
@@ -26,7 +24,6 @@ from pyspark.sql import functions as F
 from .scratch import arrow_batches, materialize
 from .textbatch import NOT_SPACE, chunks, mix64, span_hashes, text_bytes, words
 
-MIN_SHARE = 3e-7
 #: Tokens of at least this share have their exact counts on every worker.
 HEAD_SHARE = 1e-6
 STEP = 1.4  # ratio of neighbouring levels
@@ -35,8 +32,14 @@ DISCOUNT = 0.75
 BACKOFF_LEVELS = 8
 END = np.uint64(0x5EED0E0D0C0B0A09)
 _UNIGRAM, _BIGRAM, _BACKOFF = 1, 2, 3
-#: Segments in which the filter is built.
-SEGMENTS = 256
+#: Segments of the filter, and the least number of 64-bit words in each.
+SEGMENTS, LEAST_WORDS = 4096, 32
+#: Bytes of a block of segments; one larger segment is a block of its own.
+BLOCK_BYTES = 32 << 20
+#: Bytes of text for which a worker goes through the blocks once.
+GROUP_BYTES = 16 << 20
+#: Distinct n-grams that a task counts before it passes them on.
+HELD = 1 << 19
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,62 +62,71 @@ def _entry(grams: np.ndarray, kind: int, level) -> np.ndarray:
 
 
 def _spots(entry: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Two words of the filter and four bits in each; a segment has ``size`` words."""
-    segment = (entry >> np.uint64(56)).astype(np.int64) * size
+    """Two words of a segment of ``size`` words, and four bits in each."""
     out = []
     for salt in (1, 2):
         h = mix64(entry ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         bits = np.zeros(len(h), np.uint64)
         for i in range(4):
             bits |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
-        out.append((segment + (h >> np.uint64(24)).astype(np.int64) % size, bits))
+        out.append(((h >> np.uint64(24)).astype(np.int64) % size, bits))
     return out
 
 
 @dataclass
 class Model:
-    bits: np.ndarray  # uint64 words, SEGMENTS * size of them
-    size: int
+    blocks: list  # broadcasts of ``per`` segments each, of 64-bit words
+    per: int
+    size: int  # words of a segment
     tokens: int
     types: int
     counts: dict[int, np.ndarray]  # mean count of each level, by kind
-    rest: float  # probability of one token of the class below the share
+    rest: float  # probability of a token that wasn't seen
+
+    def probe(self, asks: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
+        """Levels of (n-grams, kind, highest level), 0 where one isn't there."""
+        out = [np.zeros(len(grams), np.int64) for grams, _, _ in asks]
+        segments = [(grams % np.uint64(SEGMENTS)).astype(np.int64) for grams, _, _ in asks]
+        for b, block in enumerate(self.blocks):
+            held = block.value
+            block.__dict__.pop("_value", None)  # or the worker would keep every block
+            for (grams, kind, top), segment, found in zip(asks, segments, out, strict=True):
+                left = np.flatnonzero(segment // self.per == b)
+                for level in range(1, top + 1):
+                    if not len(left):
+                        break
+                    start = (segment[left] - b * self.per) * self.size
+                    ok = np.ones(len(left), bool)
+                    for at, bits in _spots(_entry(grams[left], kind, level), self.size):
+                        ok &= (held[start + at] & bits) == bits
+                    left = left[ok]
+                    found[left] = level
+        return out
 
     def levels(self, grams: np.ndarray, kind: int, top: int) -> np.ndarray:
-        """Level of each n-gram, 0 if it isn't there, by repeated probes."""
-        out = np.zeros(len(grams), np.int64)
-        left = np.arange(len(grams))
-        for level in range(1, top + 1):
-            if not len(left):
-                break
-            ok = np.ones(len(left), bool)
-            for at, bits in _spots(_entry(grams[left], kind, level), self.size):
-                ok &= (self.bits[at] & bits) == bits
-            left = left[ok]
-            out[left] = level
-        return out
+        return self.probe([(grams, kind, top)])[0]
 
     def log10(self, tokens: np.ndarray) -> np.ndarray:
         """log10 probability of each token after the one before it.
 
         Before the first stands an end.
         """
-        known, place = np.unique(tokens, return_inverse=True)
+        known, place = np.unique(np.append(tokens, END), return_inverse=True)
+        at, place = np.append(place[-1:], place[:-2]), place[:-1]
         one, two = self.counts[_UNIGRAM], self.counts[_BIGRAM]
-        level = self.levels(known, _UNIGRAM, len(one) - 1)
+        both, which = np.unique(at * len(known) + place, return_inverse=True)
+        first, second = both // len(known), both % len(known)
+        level, back, q = self.probe(
+            [(known, _UNIGRAM, len(one) - 1), (known, _BACKOFF, BACKOFF_LEVELS), (pair(known[first], known[second]), _BIGRAM, len(two) - 1)]
+        )
         count = one[level]
-        p1 = np.where(level > 0, count / max(self.tokens, 1), self.rest)[place]
-        back = self.levels(known[level > 0], _BACKOFF, BACKOFF_LEVELS)
-        share = np.ones(len(known))
-        share[level > 0] = np.where(back > 0, (back - 0.5) / BACKOFF_LEVELS, 1.0)
-        at = np.concatenate([[np.searchsorted(known, END)], place[:-1]])
-        after = np.concatenate([[END], tokens[:-1]])
-        both = np.flatnonzero((level[place] > 0) & (level[at] > 0))
-        seen = np.zeros(len(tokens))
-        q = self.levels(pair(after[both], tokens[both]), _BIGRAM, len(two) - 1)
-        seen[both] = np.where(q > 0, np.maximum(two[q] - DISCOUNT, 0) / count[at[both]], 0.0)
+        p1 = np.where(level > 0, count / max(self.tokens, 1), self.rest)
+        share = np.where((level > 0) & (back > 0), (back - 0.5) / BACKOFF_LEVELS, 1.0)
+        hit = (q > 0) & (level[first] > 0) & (level[second] > 0)
+        seen = np.zeros(len(both))
+        seen[hit] = np.maximum(two[q[hit]] - DISCOUNT, 0) / count[first[hit]]
         # rounded counts may add up to a little over 1
-        return np.log10(np.minimum(seen + share[at] * p1, 1.0))
+        return np.log10(np.minimum(seen + share[first] * p1[second], 1.0))[which]
 
 
 def _merge(held: list[tuple]) -> tuple:
@@ -124,23 +136,62 @@ def _merge(held: list[tuple]) -> tuple:
 
 
 def _counted(batches, tokens_of):
-    """Counts of one task's n-grams, merged whenever they pile up."""
+    """Counts of one task's n-grams, merged whenever they pile up.
+
+    An n-gram comes once for each ``HELD`` that the task passes on.
+    """
+
+    def rows(merged):
+        for a in range(0, len(merged[0]), 200_000):
+            yield [pa.array(np.ascontiguousarray(x[a : a + 200_000]).view(np.int64)) for x in merged]
+
     held: list[tuple] = []
     for part in chunks(batches, "text"):
         held.append(_merge([tokens_of(*text_bytes(part.column("text")))]))
-        if len(held) >= 16:
+        if len(held) >= 16 or sum(len(h[0]) for h in held) >= HELD:
             held = [_merge(held)]
+            if len(held[0][0]) >= HELD // 2:
+                yield from rows(held.pop())
     if held:
-        merged = _merge(held)
-        for a in range(0, len(merged[0]), 200_000):
-            yield [pa.array(np.ascontiguousarray(x[a : a + 200_000]).view(np.int64)) for x in merged]
+        yield from rows(_merge(held))
+
+
+def _level(count):
+    return (F.floor(F.log(count) / F.log(F.lit(STEP)) + F.lit(1e-9)) + 1).cast("int")
+
+
+def _segment(gram):
+    # SEGMENTS divides 2 ** 64, so signed and unsigned hashes have equal segments
+    return F.pmod(gram, F.lit(SEGMENTS)).cast("int")
+
 
+def _built(entries: DataFrame, size: int) -> DataFrame:
+    """``segment, words`` from ``segment, g, kind, q``: the part of it that each task has read."""
 
-def _level(count, low: int):
-    return F.greatest(F.lit(1), (F.floor(F.log(count / F.lit(float(low))) / F.log(F.lit(STEP)) + F.lit(1e-9)) + 1).cast("int"))
+    def build(batches):
+        slots: dict[int, int] = {}
+        held = np.zeros(64 * size, np.uint64)
+        for part in batches:
+            own, inverse = np.unique(part.column("segment").to_numpy(), return_inverse=True)
+            slot = np.array([slots.setdefault(s, len(slots)) for s in own.tolist()], np.int64)[inverse]
+            while len(slots) * size > len(held):
+                held = np.concatenate([held, np.zeros(len(held), np.uint64)])
+            g = part.column("g").to_numpy().view(np.uint64)
+            kind, q = part.column("kind").to_numpy(), part.column("q").to_numpy()
+            for k in np.unique(kind).tolist():
+                rows = np.flatnonzero(kind == k)
+                top = q[rows].astype(np.int64)
+                each = np.repeat(rows, top)
+                level = np.arange(len(each)) - np.repeat(np.cumsum(top) - top, top) + 1
+                for at, bits in _spots(_entry(g[each], k, level), size):
+                    np.bitwise_or.at(held, slot[each] * size + at, bits)
+        for s, i in slots.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([held[i * size : (i + 1) * size].tobytes()], pa.binary())], ["segment", "words"])
+
+    return entries.select("segment", "g", "kind", "q").mapInArrow(build, "segment int, words binary")
 
 
-def train(docs: DataFrame, text: str = "text", share: float = MIN_SHARE) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     """Learn from all rows; returns the model and the table of all counts.
 
     The table has ``h`` (a token's hash) and ``n``.  Null texts count as empty;
@@ -161,70 +212,59 @@ def train(docs: DataFrame, text: str = "text", share: float = MIN_SHARE) -> tupl
     counts = materialize(source.mapInArrow(unigrams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).first()
     tokens, types = int(total["tokens"] or 0), int(total["types"])
-    low = max(1, int(np.ceil(share * tokens)))
-    kept = counts.filter(F.col("n") >= low).withColumn("q", _level(F.col("n"), low))
-    # at most 1 / share tokens
-    frequent = np.sort(kept.select("h").toArrow()["h"].to_numpy().view(np.uint64))
-    known = spark.sparkContext.broadcast(frequent)
+    known = counts.withColumn("q", _level(F.col("n")))
 
     def bigrams(batches):
         def two(data, offsets):
-            # a bigram is at most as frequent as its rarer token
             seq, _ = sequence(data, offsets)
-            before = np.concatenate([[END], seq[:-1]])
-            there = _in(seq, known.value)
-            both = there & np.concatenate([[True], there[:-1]]) & _in_one(before[:1], known.value, len(seq))
-            a, b = before[both], seq[both]
-            return pair(a, b), a, np.ones(len(b), np.int64)
+            before = np.concatenate([[END], seq[:-1]])[: len(seq)]
+            return pair(before, seq), before, np.ones(len(seq), np.int64)
 
         for columns in _counted(batches, two):
             yield pa.RecordBatch.from_arrays(columns, ["g", "h", "n"])
 
-    pairs = source.mapInArrow(bigrams, "g long, h long, n long").groupBy("g").agg(F.any_value("h").alias("h"), F.sum("n").alias("n"))
-    pairs = materialize(pairs.filter(F.col("n") >= low).withColumn("q", _level(F.col("n"), low)))
+    # by segment, so that few tasks hold parts of one
+    pairs = source.mapInArrow(bigrams, "g long, h long, n long").withColumn("segment", _segment(F.col("g"))).repartition("segment")
+    pairs = pairs.groupBy("segment", "g").agg(F.any_value("h").alias("h"), F.sum("n").alias("n"))
+    pairs = materialize(pairs.withColumn("q", _level(F.col("n"))))
     taken = pairs.groupBy("h").agg((F.sum("n") - F.lit(DISCOUNT) * F.count(F.lit(1))).alias("taken"))
-    backoff = kept.join(taken, "h").select("h", F.greatest(F.lit(1), F.ceil((1 - F.col("taken") / F.col("n")) * BACKOFF_LEVELS)).cast("int").alias("q"))
-    entries = (
-        kept.select(F.col("h").alias("g"), F.lit(_UNIGRAM).alias("kind"), "q")
-        .unionByName(pairs.select("g", F.lit(_BIGRAM).alias("kind"), "q"))
-        .unionByName(backoff.select(F.col("h").alias("g"), F.lit(_BACKOFF).alias("kind"), "q"))
-    )
-    keys = int(entries.agg(F.sum("q")).first()[0] or 0)
-    size = max(1, -(-keys * BITS_PER_KEY // (64 * SEGMENTS)))
-
-    def build(batches):
-        words_of = np.zeros((SEGMENTS, size), np.uint64)
-        touched = np.zeros(SEGMENTS, bool)
-        for part in batches:
-            g = part.column("g").to_numpy().view(np.uint64)
-            kind, q = part.column("kind").to_numpy(), part.column("q").to_numpy()
-            for k in np.unique(kind).tolist():
-                own, top = g[kind == k], q[kind == k]
-                level = np.concatenate([np.arange(1, t + 1) for t in top]) if len(top) else top
-                entry = _entry(np.repeat(own, top), k, level)
-                touched[np.unique((entry >> np.uint64(56)).astype(np.int64))] = True
-                for at, bits in _spots(entry, size):
-                    np.bitwise_or.at(words_of.reshape(-1), at, bits)
-        for s in np.flatnonzero(touched).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([words_of[s].tobytes()], pa.binary())], ["segment", "words"])
-
-    # a few tasks build whole filters; segments are then or-ed pairwise
-    parts = entries.coalesce(4).mapInArrow(build, "segment int, words binary").toArrow()
-    bits = np.zeros((SEGMENTS, size), np.uint64)
-    for s, x in zip(parts["segment"].to_pylist(), parts["words"].to_pylist(), strict=True):
-        bits[s] |= np.frombuffer(x, np.uint64)
-    means = {}
-    for kind, table in ((_UNIGRAM, kept), (_BIGRAM, pairs)):
-        rows = table.groupBy("q").agg(F.avg("n").alias("n")).collect()
+    backoff = counts.join(taken, "h").select("h", F.greatest(F.lit(1), F.ceil((1 - F.col("taken") / F.col("n")) * BACKOFF_LEVELS)).cast("int").alias("q"))
+    single = known.select(F.col("h").alias("g"), F.lit(_UNIGRAM).alias("kind"), "q").unionByName(backoff.select(F.col("h").alias("g"), F.lit(_BACKOFF).alias("kind"), "q"))
+    single = materialize(single.withColumn("segment", _segment(F.col("g"))).repartition("segment"))
+    means, keys = {}, int(single.filter(F.col("kind") == _BACKOFF).agg(F.sum("q")).first()[0] or 0)
+    for kind, table in ((_UNIGRAM, known), (_BIGRAM, pairs)):
+        rows = table.groupBy("q").agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("rows")).collect()
+        keys += sum(r["q"] * r["rows"] for r in rows)
         means[kind] = np.zeros(max([0, *(r["q"] for r in rows)]) + 1)
         for r in rows:
-            means[kind][r["q"]] = r["n"]
+            means[kind][r["q"]] = r["mean"]
         for q in range(1, len(means[kind])):
-            means[kind][q] = means[kind][q] or low * STEP ** (q - 0.5)
-    mass = kept.agg(F.sum("n")).first()[0] or 0
-    # the rest shares what frequent tokens leave; an unseen token is one more
-    rest = (tokens - mass + 0.5) / (tokens + 0.5) / (types - len(frequent) + 1)
-    return Model(bits.reshape(-1), size, tokens, types, means, rest), counts
+            means[kind][q] = means[kind][q] or STEP ** (q - 0.5)
+    size = max(LEAST_WORDS, -(-keys * BITS_PER_KEY // (64 * SEGMENTS)))
+    per = max(1, BLOCK_BYTES // (8 * size))
+    built = _built(single, size).unionByName(_built(pairs.withColumn("kind", F.lit(_BIGRAM)), size))
+    built = materialize(built.withColumn("block", F.floor(F.col("segment") / F.lit(per)).cast("int")).repartition("block").sortWithinPartitions("block"))
+    blocks = []
+    for b in range(-(-SEGMENTS // per)):
+        parts = built.filter(F.col("block") == b).select("segment", "words").toArrow()  # one block: bounded
+        bits = np.zeros((min(per, SEGMENTS - b * per), size), np.uint64)
+        for s, x in zip(parts["segment"].to_pylist(), parts["words"].to_pylist(), strict=True):
+            bits[s - b * per] |= np.frombuffer(x, np.uint64)
+        blocks.append(spark.sparkContext.broadcast(bits.reshape(-1)))
+    return Model(blocks, per, size, tokens, types, means, 0.5 / (tokens + 0.5)), counts
+
+
+def _grouped(parts, limit: int):
+    """Lists of consecutive parts of about ``limit`` bytes of text."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.column("text").nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -235,12 +275,16 @@ def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _in_one(value: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
-    """True but for the first place if ``value`` isn't in the table."""
-    out = np.ones(n, bool)
-    if n:
-        out[0] = _in(value, table)[0]
-    return out
+def _scored(batches, model: Model, group_bytes: int):
+    """Parts with their tokens, the tokens' rows and log10 probabilities."""
+    for group in _grouped(chunks(batches, "text"), group_bytes):
+        read = [sequence(*text_bytes(part.column("text"))) for part in group]
+        # each part ends with an end, so they follow each other as rows do
+        logs = model.log10(np.concatenate([seq for seq, _ in read]))
+        last = 0
+        for part, (seq, doc) in zip(group, read, strict=True):
+            yield part, seq, doc, logs[last : last + len(seq)]
+            last += len(seq)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -260,17 +304,17 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     head = counts.filter(F.col("n") >= max(1, int(np.ceil(HEAD_SHARE * tokens)))).toArrow()
     order = np.argsort(head["h"].to_numpy().view(np.uint64))
     head_h, head_n = head["h"].to_numpy().view(np.uint64)[order], head["n"].to_numpy()[order]
-    shared = spark.sparkContext.broadcast((model, head_h, head_n))
+    shared = spark.sparkContext.broadcast((head_h, head_n))
+    group_bytes = GROUP_BYTES
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text).alias("text"))
     row_type = source.schema["row"].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
 
-        model, head_h, head_n = shared.value
+        head_h, head_n = shared.value
         number = TaskContext.get().partitionId() << 40  # of rows, task by task
-        for part in chunks(batches, "text"):
-            seq, doc = sequence(*text_bytes(part.column("text")))
+        for part, seq, doc, logs in _scored(batches, model, group_bytes):
             rows = part.num_rows
             known, place = np.unique(seq, return_inverse=True)
             frequent = _in(known, head_h)
@@ -294,7 +338,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                     pa.concat_arrays([pa.array(np.bincount(doc, minlength=rows).astype(np.int64)), pa.nulls(asks, pa.int64())]),
                     pa.concat_arrays([pa.array(add(own.astype(float)).astype(np.int64)), pa.nulls(asks, pa.int64())]),
                     pa.concat_arrays([pa.array(add(base[place])), none]),
-                    pa.concat_arrays([pa.array(add(model.log10(seq))), none]),
+                    pa.concat_arrays([pa.array(add(logs)), none]),
                 ],
                 ["id", "h", "times", "row", "n_tokens", "head", "base", "score"],
             )

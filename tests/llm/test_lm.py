@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from diurna.llm import lm
 from diurna.llm.textbatch import text_bytes
@@ -96,3 +97,24 @@ def test_odd_rows(spark, odd, none):
     blank, none_counts = lm.train(none)
     assert lm.score(none, blank, none_counts).count() == 0
     assert all(r["n_known"] == 0 and r["score"] <= 0 for r in lm.score(odd, blank, none_counts).collect())
+
+
+def test_rare_ngrams_are_kept_in_long_corpora(spark):
+    """Beyond 3.3 million tokens a token seen once still has its own count."""
+    rare = [f"rare{i} seldom{i}" for i in range(200)]
+    df = spark.range(4_000_000).select(F.lit("").alias("text")).unionByName(spark.createDataFrame([(t,) for t in rare], "text string"))
+    model, _ = lm.train(df)
+    seq, _ = lm.sequence(*text_bytes(pa.array(rare)))
+    assert (model.levels(seq, lm._UNIGRAM, 60) > 0).all()
+    assert (model.levels(lm.pair(seq[:-1], seq[1:]), lm._BIGRAM, 60) > 0).all()
+
+
+def test_blocks_and_groups_give_the_same_scores(spark, monkeypatch):
+    _, df = corpus(spark)
+    want = {r["doc_id"]: r["score"] for r in lm.score_held_out(df).collect()}
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 256 << 10)
+    monkeypatch.setattr(lm, "GROUP_BYTES", 1)
+    monkeypatch.setattr(lm, "HELD", 50)
+    assert len(lm.train(df)[0].blocks) == 4
+    got = {r["doc_id"]: r["score"] for r in lm.score_held_out(df).collect()}
+    assert all(abs(want[k] - got[k]) < 1e-9 for k in want)
