@@ -74,6 +74,23 @@ def test_pruning_is_safe():
     assert need[-1][1] > 0.4 * jaccard.VALUES  # and most others don't
 
 
+@pytest.mark.parametrize("shared, total", [(4, 5), (8, 10), (16, 20), (40, 50)])
+def test_small_sets_at_the_threshold_are_found(shared, total):
+    """Real signatures of pairs at 0.8 survive pruning and share a band."""
+    pairs = 20_000
+    rng = np.random.default_rng(total)
+    grams = rng.integers(0, 1 << 64, (pairs, total), np.uint64, endpoint=False)
+    one, two = grams[:, :shared], grams
+    a = jaccard._signatures(one.ravel(), np.arange(pairs + 1) * shared)
+    b = jaccard._signatures(two.ravel(), np.arange(pairs + 1) * total)
+    same = a == b
+    lost = ~(jaccard._bands(a) == jaccard._bands(b)).any(1)
+    for n, k in jaccard.survivors_need(0.8, jaccard.TOLERANCE):
+        lost |= same[:, :n].sum(1) < k
+    assert abs(same.mean() - 0.8) < 0.005
+    assert lost.sum() <= 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (5, 5), (200, 100)] + [(300, 300 + i) for i in range(1, 20)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
