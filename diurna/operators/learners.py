@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import softmax
 from .folds import hash_int
-from .metrics import areas, curve, one_vs_rest
+from .metrics import areas, curve
 
 K = 3
 
@@ -211,23 +211,52 @@ def permutation_importance(scored: Callable[[DataFrame], DataFrame], long: DataF
     """Macro AUC lost when a feature's values are dealt anew among subjects.
 
     A permutation is a join on ranks: of subjects in one hash order and of
-    values in another.
+    donors in another.  All permuted tables are scored in one plan, in which
+    ``subject`` is a struct of the subject, the feature and the repeat.
     """
     from .folds import digest
     from .ranking import hash_rank
 
-    def macro(df: DataFrame) -> float:
-        return areas(curve(one_vs_rest(scored(vectors(df, features))))).agg(F.avg("auc")).first()[0]
-
-    base = macro(long)
-    out = []
-    for f in features:
-        own = long.filter(F.col("feature") == f)
-        for r in range(repeats):
-            a = hash_rank(own.withColumn("_d", digest(F.lit(seed), F.lit(r), F.col("subject"))), ["feature"], "_d").select("rank", "subject", "y", "feature")
-            c = hash_rank(own.withColumn("_d", digest(F.lit(seed + 1), F.lit(r), F.col("subject"))), ["feature"], "_d").select("rank", "value")
-            out.append((f, r, base - macro(long.filter(F.col("feature") != f).unionByName(a.join(c, "rank").select(long.columns)))))
-    return long.sparkSession.createDataFrame(out, "feature int, repeat int, drop double")
+    def macro(rows: DataFrame) -> DataFrame:
+        key = [F.struct("subject.feature", "subject.repeat", F.lit(k).alias("k")) for k in range(K)]
+        parts = F.array(*[F.struct(key[k].alias("class"), F.col(f"p{k}").alias("score"), (F.col("y") == k).cast("long").alias("hit")) for k in range(K)])
+        cases = scored(rows).select(F.explode(parts).alias("x")).select("x.*").persist()
+        return areas(curve(cases)).groupBy("class.feature", "class.repeat").agg(F.avg("auc").alias("auc"))
+
+    data = vectors(long, features).select("subject", "y", vector_to_array("features").alias("x")).persist()
+    turns = data.select("subject", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    a = hash_rank(turns.withColumn("_d", digest(F.lit(seed), F.col("repeat"), F.col("subject"))), ["repeat"], "_d").select("repeat", "rank", "subject")
+    c = hash_rank(turns.withColumn("_d", digest(F.lit(seed + 1), F.col("repeat"), F.col("subject"))), ["repeat"], "_d").select("repeat", "rank", F.col("subject").alias("donor"))
+    dealt = a.join(c, ["repeat", "rank"]).join(data, "subject").join(data.select(F.col("subject").alias("donor"), F.col("x").alias("z")), "donor")
+    at = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    mixed = F.transform("x", lambda v, i: F.when(i == F.col("i"), F.get("z", i)).otherwise(v))
+    name = F.get(F.array(*[F.lit(f) for f in features]), F.col("i"))
+    rows = at.select(F.struct("subject", name.alias("feature"), "repeat").alias("subject"), "y", array_to_vector(mixed).alias("features"))
+    own = F.struct("subject", F.lit(features[0]).alias("feature"), F.lit(-1).alias("repeat")).alias("subject")
+    base = macro(data.select(own, "y", array_to_vector("x").alias("features"))).first()["auc"]
+    return macro(rows).select("feature", "repeat", (F.lit(base) - F.col("auc")).alias("drop"))
+
+
+def vector_correlations(data: DataFrame, features: Sequence) -> DataFrame:
+    """Pearson r of all pairs of features, a before b: one matrix of products for each task."""
+    d = len(features)
+    rows = data.select(vector_to_array("features").alias("x"))
+    centre = np.array(rows.agg(*[F.avg(F.get("x", F.lit(i))) for i in range(d)]).first(), float)
+
+    def products(batches):
+        import pandas as pd
+
+        out = np.zeros((d, d))
+        for part in batches:
+            if len(part):
+                x = np.stack([np.asarray(v) for v in part["x"]]) - centre
+                out += x.T @ x
+        yield pd.DataFrame({"ss": [out.ravel().tolist()]})
+
+    total = sum(np.array(r["ss"]).reshape(d, d) for r in rows.mapInPandas(products, "ss array<double>").toLocalIterator())
+    scale = np.sqrt(np.diag(total))
+    pairs = [(features[i], features[j], float(total[i, j] / (scale[i] * scale[j])) if scale[i] and scale[j] else None) for i in range(d) for j in range(i + 1, d)]
+    return data.sparkSession.createDataFrame(pairs, "a int, b int, r double")
 
 
 def linear_contributions(data: DataFrame, coefficients: Sequence[float], means: Sequence[float]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from . import bindings as b
 from .model_queries import SEED
 from .signal_queries import rounded
 
-FEATURES = list(range(12))
+FEATURES = list(range(64))  # all of an embedding
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +40,10 @@ def discriminant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kernel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = _vectors(spark, sf_dir)
-    return rounded(learners.kernel_machine(data.filter("subject % 5 <> 0"))(data.filter("subject % 5 = 0")))
+    """Every subject's scores by a machine of the other four folds."""
+    data = _vectors(spark, sf_dir).cache()
+    parts = [learners.kernel_machine(data.filter(f"pmod(subject, 5) <> {f}"))(data.filter(f"pmod(subject, 5) = {f}")) for f in range(5)]
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 def class_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +62,20 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permuted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = _scaled(spark, sf_dir).filter("feature < 3").cache()
-    score = learners.discriminant(learners.vectors(long, [0, 1, 2]))
-    return rounded(learners.permutation_importance(score, long, [0, 1, 2], 1, SEED))
+    """AUC lost by each feature in each of 50 permutations."""
+    long = _scaled(spark, sf_dir).cache()
+    score = learners.discriminant(learners.vectors(long, FEATURES))
+    return rounded(learners.permutation_importance(score, long, FEATURES, 50, SEED))
+
+
+def embedding_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of features; ``feature_correlations`` has the first twelve."""
+    m = b.matrix(spark, sf_dir)
+    return rounded(learners.vector_correlations(learners.vectors(matrix.fill(m, matrix.fit_statistics(m)), FEATURES), FEATURES))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (logistic_out_of_fold, forest_out_of_fold, discriminant_scores, kernel_scores, class_neighbours, oversampled, principal_components, permuted_importance)
+    for f in (logistic_out_of_fold, forest_out_of_fold, discriminant_scores, kernel_scores, class_neighbours, oversampled, principal_components, permuted_importance, embedding_correlations)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -1,15 +1,17 @@
 """Signal operators: SQL checks on small tables, and hand-computed cases."""
 
 import datetime
+import hashlib
 import math
 import os
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from diurna.functions import scalars
 from diurna.operators import learners, policy, ranking, sequences, summaries
-from diurna.plans import model_queries, record_queries, signal_queries
+from diurna.plans import learner_queries, model_queries, record_queries, signal_queries
 
 DATA = "/root/testdata/sf0.001"
 ORACLES = {n: (m, n) for m in (signal_queries, model_queries, record_queries) for n in m.ORACLE_SQL}
@@ -126,3 +128,42 @@ def test_entry_and_registry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_learner_queries_use_all_features_and_subjects(spark, monkeypatch):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    run = learner_queries.QUERIES
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert run["kernel_scores"](spark, DATA).select("subject").distinct().count() == n
+    assert len(run["oversampled"](spark, DATA).first()["features"]) == 64
+    every = {(r["a"], r["b"]): r["r"] for r in run["embedding_correlations"](spark, DATA).collect()}
+    assert len(every) == 64 * 63 // 2
+    assert all(abs(every[r["a"], r["b"]] - r["r"]) < 1e-6 for r in model_queries.feature_correlations(spark, DATA).collect())
+    asked = []
+    monkeypatch.setattr(learners, "permutation_importance", lambda score, long, features, repeats, seed: asked.append((list(features), repeats)) or long)
+    run["permuted_importance"](spark, DATA)
+    assert asked == [(list(range(64)), 50)]
+
+
+def test_permuted_importance_by_hand(spark):
+    """Feature 1 is the class's score, feature 0 is noise."""
+    rows = [(i, i % 3, f, float((7 * i) % 5) if f == 0 else float(i % 3)) for i in range(60) for f in (0, 1)]
+    long = spark.createDataFrame(rows, "subject long, y int, feature int, value double")
+
+    def scored(df):
+        x = F.col("v")[1]
+        at = df.withColumn("v", vector_to_array("features"))
+        return at.select("subject", "y", *[(-F.abs(x - k)).alias(f"p{k}") for k in range(3)])
+
+    got = {(r["feature"], r["repeat"]): r["drop"] for r in learners.permutation_importance(scored, long, [0, 1], 3, 5).collect()}
+    assert len(got) == 6
+    for r in range(3):
+        assert abs(got[0, r]) < 1e-12
+        order = lambda seed: sorted(range(60), key=lambda i: hashlib.md5(f"{seed}:{r}:{i}".encode()).hexdigest())
+        x = {s: d % 3 for s, d in zip(order(5), order(6), strict=True)}
+        auc = []
+        for k in range(3):
+            p, q = [-abs(x[i] - k) for i in x if i % 3 == k], [-abs(x[i] - k) for i in x if i % 3 != k]
+            auc.append(sum((a > c) + (a == c) / 2 for a in p for c in q) / len(p) / len(q))
+        assert abs(got[1, r] - (1 - sum(auc) / 3)) < 1e-9
