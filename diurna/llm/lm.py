@@ -3,9 +3,17 @@
 The filter holds n-gram counts in logarithmic steps: an n-gram of level q is
 inserted as (n-gram, 1) to (n-gram, q), and probed level by level until a miss.
 It holds every unigram and bigram of the training texts, so it grows with them.
-An n-gram's hash names its segment, where all its levels lie.  Runs of segments
-are broadcast as blocks of bounded size; a worker reads a stretch of texts, then
-probes one block after the other, so it never holds more than one of them.
+
+Bigrams are counted by buckets of their first token, the history; a frequent
+history is spread over several.  One task sees a whole bucket, so the bucket's
+filter fits the n-grams it has, and the sums over a history's bigrams are known
+there.  These sums go along as the history's normalising constants: what the
+levels of its bigrams stand for, less the discount, and its share of the
+unigram distribution add up to 1.
+
+Runs of buckets are broadcast as blocks of bounded size; a worker reads a
+stretch of texts, then probes one block after the other, so it never holds more
+than one of them.
 
 Beside the model's score stands an exact smoothed unigram score.  Frequent
 tokens' counts, again bounded by a share, go to the workers; the others are
@@ -26,20 +34,40 @@ from .textbatch import NOT_SPACE, chunks, mix64, span_hashes, text_bytes, words
 
 #: Tokens of at least this share have their exact counts on every worker.
 HEAD_SHARE = 1e-6
-STEP = 1.4  # ratio of neighbouring levels
-BITS_PER_KEY = 12
+STEP = 1.4  # ratio of neighbouring levels, where counts are far enough apart
+BITS_PER_KEY = 16
 DISCOUNT = 0.75
-BACKOFF_LEVELS = 8
 END = np.uint64(0x5EED0E0D0C0B0A09)
-_UNIGRAM, _BIGRAM, _BACKOFF = 1, 2, 3
-#: Segments of the filter, and the least number of 64-bit words in each.
-SEGMENTS, LEAST_WORDS = 4096, 32
-#: Bytes of a block of segments; one larger segment is a block of its own.
+_UNIGRAM, _BIGRAM = 1, 2
+#: Tokens whose bigrams make up a bucket, about.
+BUCKET_TOKENS = 1 << 18
+#: A history of more tokens is spread over buckets, unless its share is tiny.
+HOT_TOKENS = 1 << 15
+#: Bytes of a block of buckets; one larger bucket is a block of its own.
 BLOCK_BYTES = 32 << 20
 #: Bytes of text for which a worker goes through the blocks once.
 GROUP_BYTES = 16 << 20
 #: Distinct n-grams that a task counts before it passes them on.
-HELD = 1 << 19
+HELD = 1 << 20
+
+
+def _starts() -> np.ndarray:
+    """The least count of each level."""
+    out = [1]
+    while out[-1] < 1 << 62:
+        out.append(max(out[-1] + 1, int(out[-1] * STEP)))
+    return np.array(out[:-1], np.int64)
+
+
+STARTS = _starts()
+#: The count that a level stands for: the middle of its range; 0 for level 0.
+MEANS = np.concatenate([[0.0], (STARTS + np.append(STARTS[1:], STARTS[-1] + 1) - 1) / 2])
+TOP = len(STARTS)
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """Level of each count, from 1; 0 for no occurrence."""
+    return np.searchsorted(STARTS, counts, side="right")
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +89,8 @@ def _entry(grams: np.ndarray, kind: int, level) -> np.ndarray:
         return mix64(grams + np.uint64(kind << 8) * np.uint64(0xD6E8FEB86659FD93) + np.asarray(level, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _spots(entry: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Two words of a segment of ``size`` words, and four bits in each."""
+def _spots(entry: np.ndarray, size) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two words of a bucket of ``size`` words, and four bits in each."""
     out = []
     for salt in (1, 2):
         h = mix64(entry ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
@@ -73,38 +101,87 @@ def _spots(entry: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _in(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is in a sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.searchsorted(table, values)
+    at[at == len(table)] = 0
+    return table[at] == values, at
+
+
+@dataclass
+class Deal:
+    """Which bucket an n-gram is in."""
+
+    buckets: int
+    hot: np.ndarray  # sorted hashes of histories that are spread
+    parts: np.ndarray  # over so many buckets
+    count: np.ndarray  # their exact counts
+    bits: int  # of the filter for each key
+
+    def bucket(self, history: np.ndarray, gram: np.ndarray | None = None) -> np.ndarray:
+        """Of bigrams; without ``gram`` of unigrams, which aren't hot."""
+        sub = np.zeros(len(history), np.uint64)
+        if gram is not None:
+            hot, at = _in(history, self.hot)
+            sub[hot] = gram[hot] % self.parts[at[hot]].astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            return (mix64(history + sub * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(self.buckets)).astype(np.int64)
+
+
+@dataclass
+class Block:
+    """Consecutive buckets: their filters' words and their histories."""
+
+    first: int
+    start: np.ndarray  # of each bucket's words, and the end of the last
+    words: np.ndarray  # and one more, so that an empty bucket can be asked
+    history: np.ndarray  # sorted
+    total: np.ndarray  # what the levels of a history's bigrams stand for, summed
+    share: np.ndarray  # a history's share of the unigram distribution
+
+
 @dataclass
 class Model:
-    blocks: list  # broadcasts of ``per`` segments each, of 64-bit words
-    per: int
-    size: int  # words of a segment
+    blocks: list  # broadcasts of Block
+    ends: list[int]  # the bucket after each block
+    deal: Deal
+    hot_total: np.ndarray
+    hot_share: np.ndarray
     tokens: int
     types: int
-    counts: dict[int, np.ndarray]  # mean count of each level, by kind
-    rest: float  # probability of a token that wasn't seen
-
-    def probe(self, asks: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
-        """Levels of (n-grams, kind, highest level), 0 where one isn't there."""
-        out = [np.zeros(len(grams), np.int64) for grams, _, _ in asks]
-        segments = [(grams % np.uint64(SEGMENTS)).astype(np.int64) for grams, _, _ in asks]
-        for b, block in enumerate(self.blocks):
+    mass: float  # what the levels of all unigrams stand for, summed
+
+    def probe(self, asks: list[tuple[np.ndarray, np.ndarray, int]], history: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Levels of (buckets, n-grams, kind), 0 where one isn't there; totals and shares of histories."""
+        out = [np.zeros(len(grams), np.int64) for _, grams, _ in asks]
+        total, share = np.zeros(len(history)), np.ones(len(history))
+        homes = self.deal.bucket(history)
+        hot, at = _in(history, self.deal.hot)
+        total[hot], share[hot] = self.hot_total[at[hot]], self.hot_share[at[hot]]
+        begin = 0
+        for end, block in zip(self.ends, self.blocks, strict=True):
             held = block.value
             block.__dict__.pop("_value", None)  # or the worker would keep every block
-            for (grams, kind, top), segment, found in zip(asks, segments, out, strict=True):
-                left = np.flatnonzero(segment // self.per == b)
-                for level in range(1, top + 1):
+            for (buckets, grams, kind), found in zip(asks, out, strict=True):
+                left = np.flatnonzero((buckets >= begin) & (buckets < end))
+                for level in range(1, TOP + 1):
                     if not len(left):
                         break
-                    start = (segment[left] - b * self.per) * self.size
-                    ok = np.ones(len(left), bool)
-                    for at, bits in _spots(_entry(grams[left], kind, level), self.size):
-                        ok &= (held[start + at] & bits) == bits
+                    start = held.start[buckets[left] - begin]
+                    size = held.start[buckets[left] - begin + 1] - start
+                    ok = size > 0
+                    size = np.maximum(size, 1)
+                    for place, bits in _spots(_entry(grams[left], kind, level), size):
+                        ok &= (held.words[start + place] & bits) == bits
                     left = left[ok]
                     found[left] = level
-        return out
-
-    def levels(self, grams: np.ndarray, kind: int, top: int) -> np.ndarray:
-        return self.probe([(grams, kind, top)])[0]
+            here = np.flatnonzero((homes >= begin) & (homes < end) & ~hot)
+            known, at = _in(history[here], held.history)
+            total[here[known]], share[here[known]] = held.total[at[known]], held.share[at[known]]
+            begin = end
+        return out, total, share
 
     def log10(self, tokens: np.ndarray) -> np.ndarray:
         """log10 probability of each token after the one before it.
@@ -113,19 +190,18 @@ class Model:
         """
         known, place = np.unique(np.append(tokens, END), return_inverse=True)
         at, place = np.append(place[-1:], place[:-2]), place[:-1]
-        one, two = self.counts[_UNIGRAM], self.counts[_BIGRAM]
         both, which = np.unique(at * len(known) + place, return_inverse=True)
         first, second = both // len(known), both % len(known)
-        level, back, q = self.probe(
-            [(known, _UNIGRAM, len(one) - 1), (known, _BACKOFF, BACKOFF_LEVELS), (pair(known[first], known[second]), _BIGRAM, len(two) - 1)]
-        )
-        count = one[level]
-        p1 = np.where(level > 0, count / max(self.tokens, 1), self.rest)
-        share = np.where((level > 0) & (back > 0), (back - 0.5) / BACKOFF_LEVELS, 1.0)
-        hit = (q > 0) & (level[first] > 0) & (level[second] > 0)
+        grams = pair(known[first], known[second])
+        hot, where = _in(known, self.deal.hot)
+        (level, q), total, share = self.probe([(self.deal.bucket(known), known, _UNIGRAM), (self.deal.bucket(known[first], grams), grams, _BIGRAM)], known)
+        level[hot] = level_of(self.deal.count[where[hot]])
+        base = self.tokens + 0.5
+        p1 = np.where(level > 0, MEANS[level] / max(self.mass, 1.0) * (self.tokens / base), 0.5 / base)
+        hit = (q > 0) & (level[first] > 0) & (level[second] > 0) & (total[first] > 0)
         seen = np.zeros(len(both))
-        seen[hit] = np.maximum(two[q[hit]] - DISCOUNT, 0) / count[first[hit]]
-        # rounded counts may add up to a little over 1
+        seen[hit] = (MEANS[q[hit]] - DISCOUNT) / total[first[hit]]
+        # a probe that errs may tell more than the whole
         return np.log10(np.minimum(seen + share[first] * p1[second], 1.0))[which]
 
 
@@ -135,63 +211,118 @@ def _merge(held: list[tuple]) -> tuple:
     return (keys, *(np.concatenate([h[i] for h in held])[first] for i in range(1, len(held[0]) - 1)), n)
 
 
-def _counted(batches, tokens_of):
+def _counted(batches, tokens_of, limit: int):
     """Counts of one task's n-grams, merged whenever they pile up.
 
-    An n-gram comes once for each ``HELD`` that the task passes on.
+    An n-gram comes once for each ``limit`` that the task passes on.
     """
-
-    def rows(merged):
-        for a in range(0, len(merged[0]), 200_000):
-            yield [pa.array(np.ascontiguousarray(x[a : a + 200_000]).view(np.int64)) for x in merged]
-
     held: list[tuple] = []
     for part in chunks(batches, "text"):
         held.append(_merge([tokens_of(*text_bytes(part.column("text")))]))
-        if len(held) >= 16 or sum(len(h[0]) for h in held) >= HELD:
+        if len(held) >= 16 or sum(len(h[0]) for h in held) >= limit:
             held = [_merge(held)]
-            if len(held[0][0]) >= HELD // 2:
-                yield from rows(held.pop())
+            if len(held[0][0]) >= limit // 2:
+                yield held.pop()
     if held:
-        yield from rows(_merge(held))
-
+        yield _merge(held)
+
+
+def _packed(deal: Deal, grams: np.ndarray, history: np.ndarray, n: np.ndarray):
+    """A task's bigrams, as one record for each bucket: (bucket, histories, bigrams of each, bigrams, counts)."""
+    bucket = deal.bucket(history, grams)
+    order = np.lexsort((history, bucket))
+    bucket, grams, history, n = bucket[order], grams[order], history[order], n[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=deal.buckets))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        h = history[a:b]
+        heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        own = n[a:b]
+        # small counts take a byte
+        kind = np.uint8 if own.max() < 256 else np.int64
+        yield int(bucket[a]), h[heads].tobytes(), np.diff(np.append(heads, b - a)).astype(np.uint32).tobytes(), grams[a:b].tobytes(), own.astype(kind).tobytes()
+
+
+_PACKED = "bucket int, histories binary, each binary, grams binary, counts binary"
+
+
+def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bigrams of one bucket, their histories and counts, merged."""
+    parts = []
+    for r in rows:
+        grams = np.frombuffer(r["grams"], np.uint64)
+        kind = np.uint8 if len(r["counts"]) == len(grams) else np.int64
+        history = np.repeat(np.frombuffer(r["histories"], np.uint64), np.frombuffer(r["each"], np.uint32))
+        parts.append((grams, history, np.frombuffer(r["counts"], kind).astype(np.int64)))
+    return _merge(parts)
+
+
+def _filter(size: int, entries: list[tuple[np.ndarray, int, np.ndarray]]) -> np.ndarray:
+    """A bucket's words, from (n-grams, kind, levels)."""
+    held = np.zeros(size, np.uint64)
+    for grams, kind, q in entries:
+        each = np.repeat(np.arange(len(grams)), q)
+        level = np.arange(len(each)) - np.repeat(np.cumsum(q) - q, q) + 1
+        for at, bits in _spots(_entry(grams[each], kind, level), size):
+            np.bitwise_or.at(held, at, bits)
+    return held
+
+
+_BUILT = "bucket int, size int, words binary, histories binary, totals binary, shares binary, hot binary, hot_totals binary, hot_types binary, mass double"
+
+
+def _built(deal: Deal, bucket: int, rows: list[dict]) -> tuple:
+    grams, owner, n = _unpacked(rows)
+    q = level_of(n)
+    history, inverse = np.unique(owner, return_inverse=True)
+    total, followers = np.bincount(inverse, weights=MEANS[q]), np.bincount(inverse)
+    hot, _ = _in(history, deal.hot)
+    own = ~hot
+    # a token is the history of as many tokens as it occurs
+    level = level_of(np.bincount(inverse, weights=n).astype(np.int64)[own])
+    size = int(-(-(int(q.sum()) + int(level.sum())) * deal.bits // 64))
+    filled = _filter(size, [(grams, _BIGRAM, q), (history[own], _UNIGRAM, level)])
+    share = DISCOUNT * followers / total
+    return (
+        bucket, size, filled.tobytes(),
+        history[own].tobytes(), total[own].astype(np.float32).tobytes(), share[own].astype(np.float32).tobytes(),
+        history[hot].tobytes(), total[hot].tobytes(), followers[hot].astype(np.int64).tobytes(), float(MEANS[level].sum()),
+    )
+
+
+def _by_bucket(batches):
+    """Buckets with their rows; rows come sorted by bucket."""
+    last, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != last and held:
+                yield last, held
+                held = []
+            last = row["bucket"]
+            held.append(row)
+    if held:
+        yield last, held
 
-def _level(count):
-    return (F.floor(F.log(count) / F.log(F.lit(STEP)) + F.lit(1e-9)) + 1).cast("int")
 
+def _records(rows, schema: str, count: int):
+    """Record batches of at most ``count`` rows."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    types = [kinds[field.split()[1]] for field in schema.split(", ")]
+    held: list[tuple] = []
 
-def _segment(gram):
-    # SEGMENTS divides 2 ** 64, so signed and unsigned hashes have equal segments
-    return F.pmod(gram, F.lit(SEGMENTS)).cast("int")
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
+    for row in rows:
+        held.append(row)
+        if len(held) == count:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
 
-def _built(entries: DataFrame, size: int) -> DataFrame:
-    """``segment, words`` from ``segment, g, kind, q``: the part of it that each task has read."""
 
-    def build(batches):
-        slots: dict[int, int] = {}
-        held = np.zeros(64 * size, np.uint64)
-        for part in batches:
-            own, inverse = np.unique(part.column("segment").to_numpy(), return_inverse=True)
-            slot = np.array([slots.setdefault(s, len(slots)) for s in own.tolist()], np.int64)[inverse]
-            while len(slots) * size > len(held):
-                held = np.concatenate([held, np.zeros(len(held), np.uint64)])
-            g = part.column("g").to_numpy().view(np.uint64)
-            kind, q = part.column("kind").to_numpy(), part.column("q").to_numpy()
-            for k in np.unique(kind).tolist():
-                rows = np.flatnonzero(kind == k)
-                top = q[rows].astype(np.int64)
-                each = np.repeat(rows, top)
-                level = np.arange(len(each)) - np.repeat(np.cumsum(top) - top, top) + 1
-                for at, bits in _spots(_entry(g[each], k, level), size):
-                    np.bitwise_or.at(held, slot[each] * size + at, bits)
-        for s, i in slots.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([held[i * size : (i + 1) * size].tobytes()], pa.binary())], ["segment", "words"])
-
-    return entries.select("segment", "g", "kind", "q").mapInArrow(build, "segment int, words binary")
-
-
-def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text: str = "text", bits: int = BITS_PER_KEY, held: int = HELD) -> tuple[Model, DataFrame]:
     """Learn from all rows; returns the model and the table of all counts.
 
     The table has ``h`` (a token's hash) and ``n``.  Null texts count as empty;
@@ -206,13 +337,19 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
             tokens, _ = sequence(data, offsets)
             return tokens, np.ones(len(tokens), np.int64)
 
-        for columns in _counted(batches, one):
-            yield pa.RecordBatch.from_arrays(columns, ["h", "n"])
+        for h, n in _counted(batches, one, held):
+            for a in range(0, len(h), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 200_000].view(np.int64)), pa.array(n[a : a + 200_000])], ["h", "n"])
 
     counts = materialize(source.mapInArrow(unigrams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).first()
-    tokens, types = int(total["tokens"] or 0), int(total["types"])
-    known = counts.withColumn("q", _level(F.col("n")))
+    sums = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).first()
+    tokens, types = int(sums["tokens"] or 0), int(sums["types"])
+    hot_from = max(HOT_TOKENS, int(np.ceil(HEAD_SHARE * tokens)))
+    hot = counts.filter(F.col("n") >= hot_from).toArrow()  # at most 1 / HEAD_SHARE rows
+    order = np.argsort(hot["h"].to_numpy().view(np.uint64))
+    hot_h, hot_n = hot["h"].to_numpy().view(np.uint64)[order], hot["n"].to_numpy()[order]
+    deal = Deal(1 << int(np.ceil(np.log2(max(4, tokens / max(BUCKET_TOKENS, hot_from))))), hot_h, -(-hot_n // hot_from), hot_n, bits)
+    shared = spark.sparkContext.broadcast(deal)
 
     def bigrams(batches):
         def two(data, offsets):
@@ -220,38 +357,55 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
             before = np.concatenate([[END], seq[:-1]])[: len(seq)]
             return pair(before, seq), before, np.ones(len(seq), np.int64)
 
-        for columns in _counted(batches, two):
-            yield pa.RecordBatch.from_arrays(columns, ["g", "h", "n"])
-
-    # by segment, so that few tasks hold parts of one
-    pairs = source.mapInArrow(bigrams, "g long, h long, n long").withColumn("segment", _segment(F.col("g"))).repartition("segment")
-    pairs = pairs.groupBy("segment", "g").agg(F.any_value("h").alias("h"), F.sum("n").alias("n"))
-    pairs = materialize(pairs.withColumn("q", _level(F.col("n"))))
-    taken = pairs.groupBy("h").agg((F.sum("n") - F.lit(DISCOUNT) * F.count(F.lit(1))).alias("taken"))
-    backoff = counts.join(taken, "h").select("h", F.greatest(F.lit(1), F.ceil((1 - F.col("taken") / F.col("n")) * BACKOFF_LEVELS)).cast("int").alias("q"))
-    single = known.select(F.col("h").alias("g"), F.lit(_UNIGRAM).alias("kind"), "q").unionByName(backoff.select(F.col("h").alias("g"), F.lit(_BACKOFF).alias("kind"), "q"))
-    single = materialize(single.withColumn("segment", _segment(F.col("g"))).repartition("segment"))
-    means, keys = {}, int(single.filter(F.col("kind") == _BACKOFF).agg(F.sum("q")).first()[0] or 0)
-    for kind, table in ((_UNIGRAM, known), (_BIGRAM, pairs)):
-        rows = table.groupBy("q").agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("rows")).collect()
-        keys += sum(r["q"] * r["rows"] for r in rows)
-        means[kind] = np.zeros(max([0, *(r["q"] for r in rows)]) + 1)
-        for r in rows:
-            means[kind][r["q"]] = r["mean"]
-        for q in range(1, len(means[kind])):
-            means[kind][q] = means[kind][q] or STEP ** (q - 0.5)
-    size = max(LEAST_WORDS, -(-keys * BITS_PER_KEY // (64 * SEGMENTS)))
-    per = max(1, BLOCK_BYTES // (8 * size))
-    built = _built(single, size).unionByName(_built(pairs.withColumn("kind", F.lit(_BIGRAM)), size))
-    built = materialize(built.withColumn("block", F.floor(F.col("segment") / F.lit(per)).cast("int")).repartition("block").sortWithinPartitions("block"))
-    blocks = []
-    for b in range(-(-SEGMENTS // per)):
-        parts = built.filter(F.col("block") == b).select("segment", "words").toArrow()  # one block: bounded
-        bits = np.zeros((min(per, SEGMENTS - b * per), size), np.uint64)
-        for s, x in zip(parts["segment"].to_pylist(), parts["words"].to_pylist(), strict=True):
-            bits[s - b * per] |= np.frombuffer(x, np.uint64)
-        blocks.append(spark.sparkContext.broadcast(bits.reshape(-1)))
-    return Model(blocks, per, size, tokens, types, means, 0.5 / (tokens + 0.5)), counts
+        for grams, history, n in _counted(batches, two, held):
+            yield from _records(_packed(shared.value, grams, history, n), _PACKED, 1 << 12)
+
+    def build(batches):
+        yield from _records((_built(shared.value, bucket, rows) for bucket, rows in _by_bucket(batches)), _BUILT, 1)
+
+    packed = source.mapInArrow(bigrams, _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    built = materialize(packed.mapInArrow(build, _BUILT))
+    mass = float(built.agg(F.sum("mass")).first()[0] or 0.0) + float(MEANS[level_of(hot_n)].sum())
+    # a hot history has a row for each of its buckets, at most 2 / HEAD_SHARE in all
+    spread = built.filter(F.length("hot") > 0).select("hot", "hot_totals", "hot_types").toArrow()
+    hot_total, hot_types = np.zeros(len(hot_h)), np.zeros(len(hot_h))
+    for h, t, k in zip(*(spread[c].to_pylist() for c in ("hot", "hot_totals", "hot_types")), strict=True):
+        _, at = _in(np.frombuffer(h, np.uint64), hot_h)
+        np.add.at(hot_total, at, np.frombuffer(t, np.float64))
+        np.add.at(hot_types, at, np.frombuffer(k, np.int64))
+    blocks, ends = _broadcast(built, deal.buckets)
+    return Model(blocks, ends, deal, hot_total, DISCOUNT * hot_types / np.maximum(hot_total, 1.0), tokens, types, mass), counts
+
+
+def _broadcast(built: DataFrame, buckets: int) -> tuple[list, list[int]]:
+    """Broadcasts of consecutive buckets, and the bucket after each."""
+    spark = built.sparkSession
+    sizes = built.select("bucket", (F.length("words") + 2 * F.length("histories")).alias("bytes")).toArrow()  # a row for each bucket
+    weight = np.zeros(buckets, np.int64)
+    weight[sizes["bucket"].to_numpy()] = sizes["bytes"].to_numpy()
+    ends, held = [], 0
+    for b in range(buckets):
+        if held and held + weight[b] > BLOCK_BYTES:
+            ends.append(b)
+            held = 0
+        held += int(weight[b])
+    ends.append(buckets)
+    blocks, begin = [], 0
+    for end in ends:
+        rows = built.filter((F.col("bucket") >= begin) & (F.col("bucket") < end)).drop("hot", "hot_totals", "hot_types", "mass").toArrow()  # one block: bounded
+        rows = rows.sort_by("bucket")
+        size = np.zeros(end - begin, np.int64)
+        size[rows["bucket"].to_numpy() - begin] = rows["size"].to_numpy()
+
+        def joined(name: str, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(rows[name].to_pylist()), kind)
+
+        history = joined("histories", np.uint64)
+        order = np.argsort(history)
+        block = Block(begin, np.concatenate([[0], np.cumsum(size)]), np.append(joined("words", np.uint64), np.uint64(0)), history[order], joined("totals", np.float32)[order], joined("shares", np.float32)[order])
+        blocks.append(spark.sparkContext.broadcast(block))
+        begin = end
+    return blocks, ends
 
 
 def _grouped(parts, limit: int):
@@ -267,14 +421,6 @@ def _grouped(parts, limit: int):
         yield held
 
 
-def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(table, values)
-    at[at == len(table)] = 0
-    return table[at] == values
-
-
 def _scored(batches, model: Model, group_bytes: int):
     """Parts with their tokens, the tokens' rows and log10 probabilities."""
     for group in _grouped(chunks(batches, "text"), group_bytes):
@@ -317,10 +463,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
         for part, seq, doc, logs in _scored(batches, model, group_bytes):
             rows = part.num_rows
             known, place = np.unique(seq, return_inverse=True)
-            frequent = _in(known, head_h)
+            frequent, at = _in(known, head_h)
             base = np.zeros(len(known))
-            if frequent.any():
-                base[frequent] = np.log10((head_n[np.searchsorted(head_h, known[frequent])] + 0.5) / scale)
+            base[frequent] = np.log10((head_n[at[frequent]] + 0.5) / scale)
             own = frequent[place]
             pairs, times = np.unique(doc[~own] * len(known) + place[~own], return_counts=True)
             asks = len(pairs)
@@ -361,7 +506,7 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
 
 
-def score_held_out(docs: DataFrame) -> DataFrame:
+def score_held_out(docs: DataFrame, **options) -> DataFrame:
     """Train on the rows not held out and score all."""
-    model, counts = train(docs.filter(~held_out()).select("text"))
+    model, counts = train(docs.filter(~held_out()).select("text"), **options)
     return score(docs.select("doc_id", held_out().alias("held_out"), "text"), model, counts, keep=["doc_id", "held_out"])
