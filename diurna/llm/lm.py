@@ -44,9 +44,9 @@ BUCKET_TOKENS = 1 << 18
 #: A history of more tokens is spread over buckets, unless its share is tiny.
 HOT_TOKENS = 1 << 15
 #: Bytes of a block of buckets; one larger bucket is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of text for which a worker goes through the blocks once.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Distinct n-grams that a task counts before it passes them on.
 HELD = 1 << 20
 
@@ -189,9 +189,13 @@ class Model:
         Before the first stands an end.
         """
         known, place = np.unique(np.append(tokens, END), return_inverse=True)
-        at, place = np.append(place[-1:], place[:-2]), place[:-1]
-        both, which = np.unique(at * len(known) + place, return_inverse=True)
-        first, second = both // len(known), both % len(known)
+        pairs = np.append(place[-1:], place[:-2]) * len(known) + place[:-1]
+        del place
+        both, which = np.unique(pairs, return_inverse=True)
+        del pairs
+        which = which.astype(np.int32)
+        first, second = (both // len(known)).astype(np.int32), (both % len(known)).astype(np.int32)
+        del both
         grams = pair(known[first], known[second])
         hot, where = _in(known, self.deal.hot)
         (level, q), total, share = self.probe([(self.deal.bucket(known), known, _UNIGRAM), (self.deal.bucket(known[first], grams), grams, _BIGRAM)], known)
@@ -199,7 +203,7 @@ class Model:
         base = self.tokens + 0.5
         p1 = np.where(level > 0, MEANS[level] / max(self.mass, 1.0) * (self.tokens / base), 0.5 / base)
         hit = (q > 0) & (level[first] > 0) & (level[second] > 0) & (total[first] > 0)
-        seen = np.zeros(len(both))
+        seen = np.zeros(len(q))
         seen[hit] = (MEANS[q[hit]] - DISCOUNT) / total[first[hit]]
         # a probe that errs may tell more than the whole
         return np.log10(np.minimum(seen + share[first] * p1[second], 1.0))[which]
