@@ -397,16 +397,17 @@ def _broadcast(built: DataFrame, buckets: int) -> tuple[list, list[int]]:
     blocks, begin = [], 0
     for end in ends:
         rows = built.filter((F.col("bucket") >= begin) & (F.col("bucket") < end)).drop("hot", "hot_totals", "hot_types", "mass").toArrow()  # one block: bounded
-        rows = rows.sort_by("bucket")
+        where = rows["bucket"].to_numpy() - begin
         size = np.zeros(end - begin, np.int64)
-        size[rows["bucket"].to_numpy() - begin] = rows["size"].to_numpy()
-
-        def joined(name: str, kind) -> np.ndarray:
-            return np.frombuffer(b"".join(rows[name].to_pylist()), kind)
-
-        history = joined("histories", np.uint64)
+        size[where] = rows["size"].to_numpy()
+        start = np.concatenate([[0], np.cumsum(size)])
+        filled = np.zeros(start[-1] + 1, np.uint64)
+        for b, x in zip(where.tolist(), rows["words"], strict=True):
+            filled[start[b] : start[b + 1]] = np.frombuffer(x.as_buffer(), np.uint64)
+        history, total, share = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x.as_buffer(), k) for x in rows[c])]) for c, k in (("histories", np.uint64), ("totals", np.float32), ("shares", np.float32)))
+        del rows
         order = np.argsort(history)
-        block = Block(begin, np.concatenate([[0], np.cumsum(size)]), np.append(joined("words", np.uint64), np.uint64(0)), history[order], joined("totals", np.float32)[order], joined("shares", np.float32)[order])
+        block = Block(begin, start, filled, history[order], total[order], share[order])
         blocks.append(spark.sparkContext.broadcast(block))
         begin = end
     return blocks, ends

@@ -13,20 +13,35 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+import warnings
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .textbatch import with_columns
 
-DEFAULT_KEY = b"replace me: a secret of the owner of the corpus"
+#: Session setting with the owner's secret; who has it can undo the surrogates.
+KEY_SETTING = "diurna.pii.key"
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; where unset a public one, with a warning, for test tables only."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        warnings.warn(f"{KEY_SETTING} isn't set: these surrogates can be undone by anyone", stacklevel=2)
+        named = "a public key for tables without real persons"
+    return hashlib.blake2b(named.encode(), digest_size=32).digest()
+
 
 # --- Keyed permutations -------------------------------------------------------
 
 
 def _round(key: bytes, tweak: bytes, i: int, half: int, bits: int) -> int:
+    # values have at most _PIECE characters, so a digest is long enough
     h = hashlib.blake2b(half.to_bytes((bits + 7) // 8 or 1, "big") + bytes([i]) + tweak, key=key[:64], digest_size=max(8, bits // 8 + 1))
     return int.from_bytes(h.digest(), "big") & ((1 << bits) - 1)
 
@@ -74,32 +89,80 @@ _ALPHABETS = [
     "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
 ]
 _VOWELS = "aeiouyаеиоуыэюяαεηιουω"
-_PLACE = {c: (a, i) for a, letters in enumerate(_ALPHABETS) for i, c in enumerate(letters)}
-#: Letters of names: vowels for vowels, others for others, so results read as names.
 _SOUNDS = []
+#: Letters of names: vowels for vowels, others for others, so results read as names.
 for _letters in _ALPHABETS[1:]:
     _SOUNDS += ["".join(c for c in _letters if c.lower() in _VOWELS), "".join(c for c in _letters if c.lower() not in _VOWELS)]
-_SOUND_PLACE = {c: (a, i) for a, letters in enumerate(_SOUNDS) for i, c in enumerate(letters)}
-_CJK = range(0x4E00, 0x9FA6)
-
-
-def _in_format(text: str, key: bytes, kind: str, names: bool = False) -> str:
-    """Permute a text among all texts of its format; other signs stay."""
-    table, where = (_SOUNDS, _SOUND_PLACE) if names else (_ALPHABETS, _PLACE)
-    size, value, shape = 1, 0, []
-    for c in text:
-        a, i, n = (*where[c], len(table[where[c][0]])) if c in where else (-2, ord(c) - _CJK.start, len(_CJK)) if ord(c) in _CJK else (-1, 0, 1)
-        shape.append((a, n, c))
-        value, size = value * n + i, size * n
-    tweak = kind.encode() + b"\0" + ",".join(str(a) if a != -1 else c for a, _, c in shape).encode()
+_PLACE = {c: letters for letters in _ALPHABETS for c in letters}
+_SOUND_PLACE = {c: letters for letters in _SOUNDS for c in letters}
+_CJK = "".join(map(chr, range(0x4E00, 0x9FA6)))
+#: Characters that are permuted as one number; longer texts are permuted piece by piece.
+_PIECE = 40
+
+
+@lru_cache(maxsize=1 << 12)
+def _letters_like(c: str) -> str:
+    """Of any other script: the letters of the same kind in the same 128 code points."""
+    kind = unicodedata.category(c)
+    if kind[0] != "L" and kind != "Nd":
+        return ""
+    if c in _CJK:
+        return _CJK
+    first = ord(c) & ~127
+    known = _PLACE if kind[0] == "L" else {}
+    return "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind and x not in known)
+
+
+def _permuted(letters: list[str], text: str, key: bytes, tweak: bytes) -> str:
+    """Permute a text among all texts with these letters at its places; none: the sign stays."""
+    size, value = 1, 0
+    for alphabet, c in zip(letters, text, strict=True):
+        if alphabet:
+            value, size = value * len(alphabet) + alphabet.index(c), size * len(alphabet)
     value = permute(value, size, key, tweak)
     out = []
-    for a, n, c in reversed(shape):
-        value, i = divmod(value, n)
-        out.append(c if a == -1 else chr(_CJK.start + i) if a == -2 else table[a][i])
+    for alphabet, c in zip(reversed(letters), reversed(text), strict=True):
+        if alphabet:
+            value, i = divmod(value, len(alphabet))
+            c = alphabet[i]
+        out.append(c)
     return "".join(reversed(out))
 
 
+def _by_pieces(letters: list[str], text: str, key: bytes, tweak: bytes) -> str:
+    """``_permuted`` for any length, one to one in every case.
+
+    Pieces are permuted one after the other, forth and back, each under a
+    digest of what was made of those before it, so every piece depends on all.
+    """
+    if len(text) <= _PIECE:
+        return _permuted(letters, text, key, tweak)
+    cuts = range(0, len(text), _PIECE)
+    pieces = [text[a : a + _PIECE] for a in cuts]
+    for way in (range(len(pieces)), reversed(range(len(pieces)))):
+        seen = hashlib.blake2b(tweak, key=key[:64], digest_size=16)
+        for i in way:
+            a = i * _PIECE
+            pieces[i] = _permuted(letters[a : a + _PIECE], pieces[i], key, seen.digest())
+            seen.update(pieces[i].encode())
+    return "".join(pieces)
+
+
+def _in_format(text: str, key: bytes, kind: str, names: bool = False) -> str:
+    """Permute a text among all texts of its format; other signs stay.
+
+    In names the last vowel of a word of three letters or more stays too, as it
+    often tells the gender.
+    """
+    where = _SOUND_PLACE if names else _PLACE
+    letters = [where.get(c) or _letters_like(c) for c in text]
+    if names and len(text) > 2 and text[-1].lower() in _VOWELS:
+        letters[-1] = ""
+    # texts of one format share a permutation
+    shape = hashlib.blake2b("\0".join(a[:1] + str(len(a)) if a else c for a, c in zip(letters, text, strict=True)).encode(), digest_size=16).digest()
+    return _by_pieces(letters, text, key, kind.encode() + b"\0" + shape)
+
+
 # --- Surrogates by type -------------------------------------------------------
 
 
@@ -131,7 +194,7 @@ def _card(text: str, key: bytes) -> str:
 
 
 def _phone(text: str, key: bytes) -> str:
-    m = re.match(r"\+\d{1,3}(?=[ .(-])|\+1|\+\d\d", text)
+    m = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+1|\+[0-9][0-9]", text)
     head = m.group() if m else ""
     rest = text[len(head) :]
     d = _digits(rest)
@@ -173,11 +236,16 @@ def _email(text: str, key: bytes) -> str:
     keep = 2 if len(labels) > 1 and labels[-2].lower() == "example" else 1
     name, last = ".".join(labels[:-keep]), ".".join(labels[-keep:])
     # case is a matter of spelling: it is kept, not part of the identity
-    new = _in_format(local.lower(), key, "local")
-    host = _in_format(name.lower(), key, "domain") if name else ""
+    new = _in_format(_lower(local), key, "local")
+    host = _in_format(_lower(name), key, "domain") if name else ""
     return _case(local, new) + "@" + (_case(name, host) + "." if name else "") + last
 
 
+def _lower(text: str) -> str:
+    """Lower case, character by character."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _case(like: str, text: str) -> str:
     return "".join(b.upper() if a.isupper() and len(b.upper()) == 1 else b for a, b in zip(like, text, strict=True))
 
@@ -229,8 +297,7 @@ _HEX = "0123456789abcdef"
 
 def _secret(text: str, key: bytes) -> str:
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-        size = 16 ** len(text)
-        new = f"{permute(int(text, 16), size, key, b'hex%d' % len(text)):0{len(text)}x}"
+        new = _by_pieces([_HEX] * len(text), text.lower(), key, b"hex%d" % len(text))
         return new.upper() if text != text.lower() else new
     return _in_format(text, key, "secret")
 
@@ -239,7 +306,7 @@ _MAKE = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "ssn": _s
 
 
 @lru_cache(maxsize=1 << 14)
-def surrogate(kind: str, text: str, key: bytes = DEFAULT_KEY) -> str:
+def surrogate(kind: str, text: str, key: bytes) -> str:
     """The replacement of one entity."""
     return _MAKE[kind](text, key)
 
@@ -249,10 +316,12 @@ def canonical(kind: str, text: str) -> str:
     if kind in ("card", "ssn"):
         return _digits(text)
     if kind == "phone":
-        m = re.match(r"\+\d{1,3}(?=[ .(-])|\+1|\+\d\d", text)
+        m = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+1|\+[0-9][0-9]", text)
         return _digits(text[m.end() :] if m else text)
     if kind == "email":
-        return text.lower()
+        return _lower(text)
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in text.split("."))
     if kind == "iban":
         return text.replace(" ", "")
     if kind == "person":
@@ -269,16 +338,16 @@ _given = "|".join(sorted(_GENDER, key=len, reverse=True))
 
 #: (type, what a text must contain, pattern, group), the first claim on a place wins.
 _RULES = [
-    ("secret", "=:", re.compile(r"(?i)(?:key|token|secret|password|passwd|pwd|auth\w*|bearer|credential\w*)[\"']?\s*[:=]\s*[\"']?([\w+/=.~-]{8,})"), 1),
+    ("secret", "=:", re.compile(r"(?i)(?:key|token|secret|password|passwd|pwd|auth\w*+|bearer|credential\w*+)[\"']?\s*[:=]\s*[\"']?([\w+/=.~-]{8,})"), 1),
     ("secret", "0123456789", re.compile(r"(?<![\w])(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{30,}|sk-[\w-]{20,}|xox[abp]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]+)(?![\w])"), 0),
-    ("secret", "0123456789", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![0-9A-Za-z])"), 0),
-    ("email", "@", re.compile(r"[^\W_][\w.+'-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+"), 0),
-    ("iban", "0123456789", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0),
-    ("ip", ".", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"), 0),
-    ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
-    ("card", "0123456789", re.compile(r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)"), 0),
-    ("phone", "+", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,5}(?!\d)"), 0),
-    ("phone", "0123456789", re.compile(r"(?<![\d+])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"), 0),
+    ("secret", "0123456789", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"), 0),
+    ("email", "@", re.compile(r"(?<![\w.+'-])[_.+'-]*+([^\W_][\w.+'-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+)"), 1),
+    ("iban", "0123456789", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0),
+    ("ip", ".", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"), 0),
+    ("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0),
+    ("card", "0123456789", re.compile(r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), 0),
+    ("phone", "+", re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5}){1,5}(?![0-9])"), 0),
+    ("phone", "0123456789", re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"), 0),
     ("person", "".join({t[0] for t in _TITLE_GENDER}), re.compile(rf"(?<!\w)(?:{_titles})\.?[ \t]+{_NAME}(?:[ \t]+{_NAME}){{0,2}}"), 0),
     ("person", "", re.compile(rf"(?<!\w)(?:{_given})(?:[ \t]+{_NAME}){{1,2}}"), 0),
 ]
@@ -293,7 +362,7 @@ def _valid(kind: str, text: str) -> bool:
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of all entities of a text, in order, without overlap."""
-    digits = re.search(r"\d", text) is not None
+    digits = re.search("[0-9]", text) is not None
     found: list[tuple[int, int, str]] = []
     for kind, needs, pattern, group in _RULES:
         if needs and not (digits if needs[0] == "0" else any(c in text for c in needs)):
@@ -305,7 +374,7 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def replace_entities(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, list[tuple[str, str, str, int]]]:
+def replace_entities(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str, int]]]:
     """The text with surrogates, and (type, canonical digest, surrogate, start) of each."""
     out, at, listed = [], 0, []
     length = 0
@@ -324,7 +393,7 @@ _ENTITIES = "array<struct<kind:string,entity:string,surrogate:string,start:int>>
 _LIST_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string()), ("start", pa.int32())]))
 
 
-def replace_pii(docs: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, keep: list[str] | None = None) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with entities in ``text`` replaced, and a list ``entities``.
 
     An entity's entry has its type, a keyed digest of the original (equal for
@@ -362,3 +431,17 @@ def collisions(replaced: DataFrame, entities: str = "entities") -> DataFrame:
     plain = plain.when(F.col("e.kind") == "email", F.lower("e.surrogate")).otherwise(F.col("e.surrogate"))
     pairs = replaced.select(F.explode(entities).alias("e")).select("e.kind", "e.entity", plain.alias("surrogate")).distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def verified(replaced: DataFrame, strict: bool = True) -> DataFrame:
+    """``replaced`` as a table in the shared folder, once ``collisions`` has gone over it.
+
+    A collision raises an error, or gives a warning if not ``strict``.
+    """
+    out = materialize(replaced)
+    n = collisions(out).count()
+    if n and strict:
+        raise ValueError(f"{n} surrogates stand for more than one entity")
+    if n:
+        warnings.warn(f"{n} surrogates stand for more than one entity", stacklevel=2)
+    return out

@@ -58,9 +58,10 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with surrogates for personal data."""
+    """All documents with surrogates for personal data, checked for collisions."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_pii(docs).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+    new = pii.verified(pii.replace_pii(docs, pii.key_of(spark)), strict=False)
+    return new.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

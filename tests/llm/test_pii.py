@@ -1,5 +1,7 @@
 import random
 import re
+import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +78,83 @@ def test_coreference_and_distinctness(spark):
             assert r["text"][e["start"] :].startswith(e["surrogate"])
 
 
+LONG = {
+    "token": ("token=" + "aB3x" * 60, "secret"),
+    "jwt": ("eyJ" + "hbGciOiJI" * 20 + "." + "eyJzdWI1" * 30 + "." + "sflKx_w-" * 20, "secret"),
+    "hex": ("0123456789abcdef" * 20, "secret"),
+    "mail": ("a" * 240 + "@" + "b" * 60 + ".com", "email"),
+    "name": ("Mr " + "Ab" * 200, "person"),
+}
+
+
+@pytest.mark.parametrize("what", LONG)
+@pytest.mark.parametrize("times", [1, 250])
+def test_long_entities(what, times):
+    text, kind = LONG[what]
+    for piece in ("aB3x" * 60, "hbGciOiJI" * 20, "0123456789abcdef" * 20, "a" * 240, "Ab" * 200):
+        text = text.replace(piece, piece * times)
+    new, listed = pii.replace_entities(text, KEY)
+    assert [e[0] for e in listed] == [kind] and new != text and len(new) == len(text)
+    assert new == pii.replace_entities(text, KEY)[0]
+    assert re.sub("[^\\W\\d_]", "a", re.sub(r"[0-9]", "0", new)) == re.sub("[^\\W\\d_]", "a", re.sub(r"[0-9]", "0", text)) or what == "hex"
+    last = text[:-1] + ("b" if text[-1] != "b" else "c") if what != "mail" else "b" + text[1:]
+    other = pii.replace_entities(last, KEY)[0]
+    assert other != new and other[: len(text) // 2] != new[: len(text) // 2]  # all of it depends on all of it
+
+
+def test_long_texts_take_linear_time():
+    began = time.monotonic()
+    for text in ("a" * 100_000 + " @ b", "a@" + "b" * 100_000, "a." * 50_000 + " @", "1" * 100_000 + " +", "Mr " * 30_000, "f0" * 50_000 + "g"):
+        pii.replace_entities(text, KEY)
+    assert time.monotonic() - began < 20
+
+
+def test_pieces_permute_one_to_one(monkeypatch):
+    monkeypatch.setattr(pii, "_PIECE", 2)
+    texts = [f"{i:05d}" for i in range(100_000)]
+    image = {pii._in_format(t, KEY, "t") for t in texts[::7]}
+    assert len(image) == len(texts[::7]) and all(re.fullmatch("[0-9]{5}", x) for x in image)
+
+
+@pytest.mark.parametrize("name", ["Dr 김민수", "Dr たなか", "Dr ראובן", "Dr محمد", "Dr Łukasz Žižka", "Mme Ангелина", "Dr अनिल"])
+def test_names_of_any_script(name):
+    new = pii.surrogate("person", name, KEY)
+    title, *old = name.split()
+    head, *words = new.split()
+    assert head == title and words != old
+    for a, b in zip(old, words, strict=True):
+        assert a != b and [unicodedata.category(x) for x in a] == [unicodedata.category(x) for x in b]
+        assert [ord(x) >> 9 for x in a] == [ord(x) >> 9 for x in b] or "김" in name
+        if a[-1].lower() in pii._VOWELS:
+            assert a[-1] == b[-1]
+
+
+def test_odd_case_letters():
+    for text in ("İx@ABİ.org", "ẞa@b.de"):
+        assert pii.replace_entities(text, KEY)[0] != text
+
+
+def test_collisions_are_told(spark):
+    docs = spark.createDataFrame([(1, "Mail a@b.com and 01.2.3.4, 1.2.3.4"), (2, None)], "doc_id long, text string")
+    out = pii.verified(pii.replace_pii(docs, KEY))
+    assert out.count() == 2
+    twice = out.unionByName(out.withColumn("entities", F.expr("transform(entities, e -> named_struct('kind', e.kind, 'entity', 'another', 'surrogate', e.surrogate, 'start', e.start))")))
+    with pytest.raises(ValueError, match="surrogates"):
+        pii.verified(twice)
+    with pytest.warns(UserWarning, match="surrogates"):
+        assert pii.verified(twice, strict=False).count() == 4
+
+
+def test_key_comes_from_the_session(spark):
+    with pytest.warns(UserWarning, match="isn't set"):
+        public = pii.key_of(spark)
+    spark.conf.set(pii.KEY_SETTING, "ours")
+    try:
+        assert pii.key_of(spark) != public
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_clean_text_stays():
     for text in ("", "Nothing here: 3.14, 2024-05-06, a@b, page 12-34.", "Don't. The don said so.", "x" * 50_000):
         assert pii.replace_entities(text, KEY) == (text, [])
@@ -85,4 +164,4 @@ def test_odd_rows(spark, odd, none):
     out = pii.replace_pii(odd.withColumn("entities", F.lit(1)), key=KEY)
     assert out.columns == [*odd.columns, "entities"] and out.count() == odd.count()
     assert sorted(map(str, out.select(odd.columns).collect())) == sorted(map(str, odd.collect()))
-    assert pii.replace_pii(none).count() == 0
+    assert pii.replace_pii(none, KEY).count() == 0
