@@ -32,9 +32,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data; ``n_chars`` follows the text."""
-    new = pii.replace_pii(docs).drop("entities")
-    return new.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """All documents, with surrogates for personal data; ``n_chars`` follows the text.
+
+    Surrogates are checked for collisions.
+    """
+    new = pii.verified(pii.replace_pii(docs, pii.key_of(spark)), strict=False)
+    return new.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
