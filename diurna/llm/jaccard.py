@@ -10,8 +10,10 @@ on the n-gram sets.
 Pairs live only inside a task.  Candidates are first joined into components by
 the signatures alone; then each component's classes meet block against block,
 where all its pairs are pruned and verified and only counts and a spanning
-forest leave the task.  What is shuffled is linear in the classes and, in a
-component of g classes, in g times the number of its blocks.
+forest leave the task.  A component of more than a block, such as a long chain,
+is split by bands where that ships less: classes meet in each band they share,
+and a pair counts in the first of them.  So n-gram sets are shipped once for
+each block that a class may have links in, not for each block of its component.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import arrow_batches, materialize
-from .textbatch import ALNUM, chunks, mix64, ngram_rows, seeds, span_hashes, text_bytes, with_columns, words
+from .textbatch import ALNUM, _quoted, chunks, mix64, ngram_rows, seeds, span_hashes, text_bytes, with_columns, words
 
 N = 5
 THRESHOLD = 0.8
@@ -207,8 +209,8 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.flatnonzero(side == i), np.flatnonzero(side != i), False
 
 
-def _candidate_edges(classes: DataFrame, need: list[tuple[int, int]]) -> DataFrame:
-    """Spanning forests of the pairs that the signatures alone can't rule out."""
+def _shared_bands(classes: DataFrame) -> DataFrame:
+    """``band, digest, n`` of the bands that n > 1 classes share."""
 
     def keys(batches):
         for part in batches:
@@ -217,7 +219,12 @@ def _candidate_edges(classes: DataFrame, need: list[tuple[int, int]]) -> DataFra
 
     entries = classes.select("digest", "signature").mapInArrow(keys, "digest binary, bands array<long>").select("digest", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    near = entries.join(shared, "band").join(classes.select("digest", "signature"), "digest")
+    return materialize(entries.join(shared, "band"))
+
+
+def _candidate_edges(near: DataFrame, classes: DataFrame, need: list[tuple[int, int]]) -> DataFrame:
+    """Spanning forests of the pairs that the signatures alone can't rule out."""
+    near = near.join(classes.select("digest", "signature"), "digest")
 
     def compare(batches):
         for table in _groups(batches, ["band", "_i", "_j"]):
@@ -257,17 +264,49 @@ def _overlaps(grams: list[np.ndarray], a: np.ndarray, b: np.ndarray, i: np.ndarr
     return out
 
 
+def _meetings(member: DataFrame, near: DataFrame) -> DataFrame:
+    """Where classes meet: ``digest, component, band, size``.
+
+    In their component, as band 0, or in its bands where that ships less; size
+    counts those who meet.
+    """
+    whole = member.select("digest", "component", F.lit(0).cast("long").alias("band"), "size")
+    large = member.filter(F.col("size") > BLOCK).select("digest", "component", "size")
+    if large.isEmpty():
+        return whole
+    bands = near.join(large, "digest").groupBy("component", "band").agg(F.count(F.lit(1)).alias("m"), F.max("size").alias("g"))
+    bands = materialize(bands.filter("m > 1"))
+
+    def shipped(n):
+        return F.col(n) * F.ceil(F.col(n) / F.lit(BLOCK))
+
+    split = bands.groupBy("component").agg(F.sum(shipped("m")).alias("by_band"), F.max(shipped("g")).alias("at_once")).filter("by_band < at_once").select("component")
+    split = materialize(split)
+    if split.isEmpty():
+        return whole
+    parts = bands.join(split, "component").select("component", "band", F.col("m").alias("size"))
+    apart = near.select("digest", "band").join(large.select("digest", "component"), "digest").join(parts, ["component", "band"])
+    return whole.join(split, "component", "left_anti").select("digest", "component", "band", "size").unionByName(apart.select("digest", "component", "band", "size"))
+
+
 def _verified(members: DataFrame, need: list[tuple[int, int]], threshold: float) -> DataFrame:
-    """For each class and block pair: linked classes, their copies, an edge.
+    """For each meeting and block pair: linked classes, their copies, an edge.
 
-    ``members``: component, size, digest, copies, signature, grams.
+    ``members``: component, band, size, digest, copies, signature, grams.
     """
 
     def compare(batches):
-        for table in _groups(batches, ["component", "_i", "_j"]):
+        for table in _groups(batches, ["component", "band", "_i", "_j"]):
             a, b, same = _sides(table)
             m = _matrix(table["signature"], VALUES, np.uint32)
             i, j = _pairs(m[a], m[b], same, need)
+            band = table["band"][0].as_py()
+            if band and len(i):
+                # the pair counts in the first band it shares
+                keys = _bands(m).view(np.int64)
+                first = np.argmax(keys[a[i]] == keys[b[j]], axis=1)
+                once = keys[a[i], first] == band
+                i, j = i[once], j[once]
             if len(i) == 0:
                 continue
             grams = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
@@ -287,45 +326,36 @@ def _verified(members: DataFrame, need: list[tuple[int, int]], threshold: float)
                     ["digest", "to", "links", "docs"],
                 )
 
-    return _in_blocks(members, ["component"], "digest", "size").mapInArrow(compare, "digest binary, to binary, links long, docs long")
+    return _in_blocks(members, ["component", "band"], "digest", "size").mapInArrow(compare, "digest binary, to binary, links long, docs long")
 
 
-def join_similar(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    n: int = N,
-    threshold: float = THRESHOLD,
-    tolerance: float = TOLERANCE,
-) -> DataFrame:
-    """Link documents whose sets of word n-grams have a Jaccard of ``threshold`` or more.
+def _classes(docs: DataFrame, key: str, text: str, n: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with the digest of their n-gram set, and what is known of each set.
 
-    Returns for each row ``key, class_id, rep_id, n_copies, n_links``:
-    ``rep_id`` is the least key among texts of the same n-gram set and
-    ``n_copies`` their number; ``n_links`` counts the other documents linked to
-    this one, copies included; ``class_id`` is the least key that links lead
-    to.  Words are runs of letters and digits, lower-cased in ASCII.  A text of
-    fewer than ``n`` words counts as one n-gram.  Texts without words (null,
-    empty) are linked to nothing: their class is their own key, their copies 1.
-    Repeated rows are copies of each other.  Null keys come last as classes.
+    The first: ``key, tid, digest``, where ``tid`` is a hash of the text.  The
+    second: ``digest, first`` (the least key among its rows, nulls last, and
+    that row's ``tid``), ``copies, linked`` and ``class_first``, the least
+    ``first`` that links lead to.
     """
     arrow_batches(docs.sparkSession)
     need = survivors_need(threshold, tolerance)
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    base = docs.select(_quoted(key).alias("key"), _quoted(text).alias("text")).select("key", F.xxhash64("text").alias("tid"), "text")
     sketch = with_columns(
-        base, "text", lambda data, offsets: _sketch(data, offsets, n), [("digest", "binary"), ("size", "bigint"), ("signature", "binary")], keep=["key"]
+        base, "text", lambda data, offsets: _sketch(data, offsets, n), [("digest", "binary"), ("size", "bigint"), ("signature", "binary")], keep=["key", "tid"]
     )
     sketch = materialize(sketch)
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid"))
     classes = materialize(
-        sketch.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("signature").alias("signature"))
+        sketch.filter(F.col("digest").isNotNull()).groupBy("digest").agg(least.alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("signature").alias("signature"))
     )
-    candidates = connected_components(_candidate_edges(classes, need))
+    near = _shared_bands(classes)
+    candidates = connected_components(_candidate_edges(near, classes, need))
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     member = candidates.withColumnRenamed("node", "digest").join(sizes, "component").join(classes, "digest")
     member = materialize(member)
     # fetch the texts of one document of each class, and its n-grams again
-    wanted = member.select(F.col("rep").alias("key"), F.col("digest").alias("want"))
-    found = base.join(wanted, "key")
+    wanted = member.select(F.col("first.key").alias("k"), F.col("first.tid").alias("t"), F.col("digest").alias("want"))
+    found = base.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("tid") == F.col("t")))
 
     def regrown(batches):
         for part in chunks(batches, "text"):
@@ -337,38 +367,63 @@ def join_similar(
             )
 
     grams = found.select("want", "text").mapInArrow(regrown, "digest binary, grams binary").dropDuplicates(["digest"])
-    joined = member.select("component", "size", "digest", "copies", "signature").join(grams, "digest")
+    joined = _meetings(member, near).join(member.select("digest", "copies", "signature"), "digest").join(grams, "digest")
     links = materialize(_verified(joined, need, threshold))
     groups = connected_components(links.select(F.col("digest").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "digest")
     counts = links.groupBy("digest").agg(F.sum("docs").alias("linked"))
-    per_class = classes.select("digest", "rep", "copies").join(groups, "digest", "left").join(counts, "digest", "left")
-    names = per_class.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("class_id"))
+    per_class = classes.select("digest", "first", "copies").join(groups, "digest", "left").join(counts, "digest", "left")
+    names = per_class.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("class_first"))
     per_class = per_class.join(names, "component", "left").select(
-        "digest", "rep", "copies", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("linked", F.lit(0)).alias("linked")
+        "digest", "first", "copies", F.coalesce("class_first", "first").alias("class_first"), F.coalesce("linked", F.lit(0)).alias("linked")
     )
-    return (
-        sketch.select("key", "digest")
-        .join(per_class, "digest", "left")
-        .select(
-            F.col("key").alias(key),
-            F.coalesce("class_id", "key").alias("class_id"),
-            F.coalesce("rep", "key").alias("rep_id"),
-            F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-            (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),
-        )
+    return sketch.select("key", "tid", "digest"), per_class
+
+
+def join_similar(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    n: int = N,
+    threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """Link documents whose sets of word n-grams have a Jaccard of ``threshold`` or more.
+
+    Returns for each row ``key, class_id, rep_id, n_copies, n_links``:
+    ``rep_id`` is the least key among texts of the same n-gram set and
+    ``n_copies`` their number; ``n_links`` counts the other documents linked to
+    this one, copies included; ``class_id`` is the least key that links lead
+    to.  Words are runs of letters and digits, lower-cased in ASCII.  A text of
+    fewer than ``n`` words counts as one n-gram.  Texts without words (null,
+    empty) are linked to nothing: their class is their own key, their copies 1.
+    Repeated rows are copies of each other.  Rows of a null key are linked like
+    others; nulls come last, so a class's id is null only if all its keys are.
+    """
+    rows, per_class = _classes(docs, key, text, n, threshold, tolerance)
+    return rows.join(per_class, "digest", "left").select(
+        F.col("key").alias(key),
+        F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("class_first.key")).alias("class_id"),
+        F.when(F.col("digest").isNull(), F.col("key")).otherwise(F.col("first.key")).alias("rep_id"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"),
     )
 
 
-def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class stays: the one of the least key.
+def drop_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One document of each class stays: the one of the least key, nulls last.
 
-    Of rows that repeat that key one stays.  Rows of a null key can't be told
-    apart and all stay.
+    Of several rows with that key the one stays whose text has the least hash;
+    of rows equal in key and text any one.  Texts without words are in no class
+    and all stay.
     """
-    found = join_similar(docs, key, text, **options).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("_kept")).distinct()
-    kept = docs.join(found, docs[key] == F.col("_kept"), "left_semi")
-    repeated = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not repeated.isEmpty():  # rows are compared only where keys do repeat
-        kept = kept.dropDuplicates([key])
-    unnamed = docs.filter(F.col(key).isNull())
-    return kept if unnamed.isEmpty() else kept.unionByName(unnamed)
+    found, per_class = _classes(docs, key, text, n, threshold, tolerance)
+    kept = per_class.filter(F.col("first") == F.col("class_first")).select(F.col("first.key").alias("k"), F.col("first.tid").alias("t"), F.lit(True).alias("kept"))
+    rows = docs.select(F.struct(*[_quoted(c) for c in docs.columns]).alias("row"), _quoted(key).alias("key"), F.xxhash64(_quoted(text)).alias("tid"), _quoted(text).alias("text"))
+    rows = rows.withColumn("worded", F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)))
+    rows = rows.select("row", "key", "tid", "worded").join(kept, F.col("key").eqNullSafe(F.col("k")) & (F.col("tid") == F.col("t")) & F.col("worded"), "left")
+    repeated = found.filter(F.col("digest").isNotNull()).groupBy("key", "tid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    one = rows.filter("kept")
+    if not repeated.isEmpty():  # rows are compared only where they do repeat
+        one = one.dropDuplicates(["key", "tid"])
+        return one.select("row.*").unionByName(rows.filter("not worded").select("row.*"))
+    return rows.filter("kept or not worded").select("row.*")

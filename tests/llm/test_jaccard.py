@@ -62,6 +62,48 @@ def test_matches_brute_force(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute(rows)
 
 
+def test_split_components(spark, monkeypatch):
+    """A long chain is split by bands, a clique beside it isn't; both lose nothing."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(5)
+    stream = [f"w{rng.randrange(5000)}" for _ in range(900)]
+    rows = [(i, " ".join(stream[4 * i : 4 * i + 64])) for i in range(200)]
+    base = [f"v{rng.randrange(5000)}" for _ in range(80)]
+    for i in range(40):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"u{i}"
+        rows.append((1000 + i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    taken = []
+    meetings = jaccard._meetings
+    monkeypatch.setattr(jaccard, "_meetings", lambda *a: taken.append(meetings(*a)) or taken[-1])
+    got = jaccard.join_similar(df).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute(rows)
+    bands = {r["band"] != 0 for r in taken[0].collect()}
+    assert bands == {True, False}
+
+
+def test_null_keys_keep_their_links(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (None, text + " more"), (None, "alone " * 3), (None, text + " less"), (None, "some other words stand here"), (None, "some other words stand here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["class_id"]), r["n_links"], r["n_copies"]) for r in jaccard.join_similar(docs).collect())
+    assert got == sorted([("1", 2, 1)] * 3 + [("None", 0, 1)] + [("None", 1, 2)] * 2)
+    assert sorted(r["text"] for r in jaccard.drop_similar(docs).collect()) == sorted([text, "alone " * 3, rows[4][1]])
+
+
+def test_repeated_keys_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a", 0), (1, "quite another text of the same key", "b", 1), (2, text + " x", "c", 2), (3, None, "d", 3), (3, None, "e", 4), (1, text, "f", 5)]
+    docs = spark.createDataFrame(rows, "`doc.id` long, `te xt` string, _kept string, `row.key` long")
+    docs = docs.withColumn("key", docs["_kept"]).withColumn("tid", docs["_kept"]).withColumn("kept", docs["_kept"]).withColumn("k", docs["_kept"])
+    out = jaccard.drop_similar(docs, "doc.id", "te xt")
+    assert out.columns == docs.columns
+    kept = sorted(r["_kept"] for r in out.collect())
+    assert kept in (["a", "b", "d", "e"], ["b", "d", "e", "f"])
+    assert jaccard.join_similar(docs, "doc.id", "te xt").columns[0] == "doc.id"
+
+
 def test_pruning_is_safe():
     """Pairs at the threshold survive all looks but for the tolerance."""
     need = jaccard.survivors_need(0.8, 1e-6)
