@@ -30,6 +30,8 @@ TRAIN_DOCS = 20_000
 SLOTS_PER_GRAM = 16
 PROBES = 2
 UNDETERMINED = "und"
+#: Of texts with letters, where nothing was learned.
+UNKNOWN = "unknown"
 
 # letters as they are in lower case, everything else in ASCII a blank
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -83,8 +85,8 @@ def _smallest_type(languages: int):
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> Filter:
     """Learn the filter from rows with a language; null languages are left out.
 
-    No rows to learn from give a filter without languages, which leaves every
-    text undetermined.
+    No rows to learn from give a filter without languages, to which every text
+    with a letter is ``unknown``.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -159,7 +161,7 @@ def _judge(f: Filter, data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     rows = len(offsets) - 1
     letters = _has_letter(data, offsets)
     if not f.languages:
-        return [pa.array([UNDETERMINED] * rows), pa.array(np.zeros(rows))]
+        return [pa.array(np.where(letters, UNKNOWN, UNDETERMINED).tolist(), pa.string()), pa.array(np.zeros(rows))]
     gram, row = ngrams(data, offsets)
     count = np.zeros((rows, len(f.languages)))
     for plane, mask in enumerate(f.masks(gram)):

@@ -193,13 +193,13 @@ def ngram_rows(w: Words, hashes: np.ndarray, length: int, whole: bool = False) -
     return grams, rows
 
 
-def with_columns(df, text: str, add, fields: list[tuple[str, str]], keep: list[str] | None = None):
+def with_columns(df, text: str, add, fields: list[tuple[str, str]], keep: list[str] | None = None, limit: int = CHUNK_BYTES):
     """``df`` with columns that ``add`` derives from chunks of texts.
 
     ``add(data, offsets)`` gets a chunk's UTF-8 bytes and row offsets and
     returns an Arrow array for each of ``fields`` (name, SQL type).  ``keep``
     names the columns of ``df`` that pass through (all by default); new names
-    take the place of equal ones.
+    take the place of equal ones.  ``limit``: bytes of text in a chunk.
     """
     from pyspark.sql import types as T
 
@@ -209,17 +209,18 @@ def with_columns(df, text: str, add, fields: list[tuple[str, str]], keep: list[s
     names = [n for n, _ in fields]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     new = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
-    schema = T.StructType([*(df.schema[c] for c in keep), *new])
-    # the text gets a position of its own, whatever else passes through
-    source = df.select(*[_quoted(c) for c in keep], _quoted(text).alias("_text"))
+    fields_in = [T.StructField(f"_{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
+    schema = T.StructType([*fields_in, *new])
+    # columns go by position, so names may clash or hold dots; the text has a position of its own
+    source = df.select(*[_quoted(c).alias(f"_{i}") for i, c in enumerate(keep)], _quoted(text).alias("_text"))
 
     def run(batches):
-        for part in chunks(batches, "_text"):
+        for part in chunks(batches, "_text", limit):
             data, offsets = text_bytes(part.column("_text"))
             added = add(data, offsets)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *added], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *added], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def _quoted(name: str):

@@ -1,3 +1,4 @@
+import collections
 import zlib
 
 from diurna.llm import langid
@@ -47,6 +48,24 @@ def test_filter_has_no_false_negatives_and_knows_its_false_positives(spark):
         assert abs(seen - model.false_share[i]) < 0.003
 
 
+def test_decision_equals_brute_force(spark):
+    """Counts of n-grams by plain sets, corrected for the filter's share of false positives."""
+    docs = corpus(spark)
+    model = langid.train(docs)
+    grams, seen = collections.defaultdict(collections.Counter), {}
+    for r in docs.collect():
+        b = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in f" {r['text']} ".encode())
+        seen[r["doc_id"]] = [b[i : i + 4] for i in range(len(b) - 3) if 32 not in b[i + 1 : i + 3]]
+        grams[r["lang"]].update(seen[r["doc_id"]])
+    wrong = 0
+    for r in langid.identify(docs, model).collect():
+        count = [sum(grams[name][g] >= langid.MIN_SHARE * grams[name].total() and g in grams[name] for g in seen[r["doc_id"]]) for name in model.languages]
+        best = max(range(4), key=lambda i: (count[i], -i))
+        assert model.languages[best] == r["lang_pred"]
+        wrong += abs(r["lang_score"] - count[best] / sum(count)) > 0.02
+    assert wrong < 8  # where false positives came in
+
+
 def test_many_languages(spark):
     """More languages than bits in a word: filters get a second plane."""
     rows = [(i * 10 + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)}zq " * 5, f"l{i:03d}") for i in range(70) for k in range(2)]
@@ -63,7 +82,7 @@ def test_odd_rows(spark, odd, none):
     assert [by[k]["lang_pred"] for k in (2, 3, 6, 9)] == ["und"] * 4
     assert by[7]["lang_pred"] != "und" and by[2]["lang_score"] == 0
     empty = langid.train(none)
-    assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {k: "und" if k in (2, 3, 6, 9) else "unknown" for k in by}
     assert langid.identify(none, empty).count() == 0
     clash = odd.withColumn("lang_pred", F.lit(1))
     assert dict(langid.identify(clash, empty).dtypes)["lang_pred"] == "string"

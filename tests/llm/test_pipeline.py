@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
@@ -51,6 +52,25 @@ def test_stages(spark, tables):
     assert pieces.count() == corpus_pipeline.run(spark, tables).count()
 
 
+def test_stages_keep_odd_columns(spark, tables):
+    """Names that hold dots or clash with those of the operators."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    names = {"a.b": "size", "_kept": "doc_id", "_row": "lang", "key": "text", "digest": "text", "items": "size", "lang_pred": "lang", "entities": "size", "_text": "lang", "_body": "text"}
+    docs = docs.select("*", *[docs[c].alias(n) for n, c in names.items()])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables)
+        assert out.columns == docs.columns, name
+        assert out.count() > 50, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, tables).count() > 50
+
+
+def test_a_corpus_without_labels_stays(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, bare, tables).collect()}
+    assert kept == {r["doc_id"] for r in corpus_pipeline.language(spark, docs, tables).collect()}
+
+
 def test_empty_tables_go_through(spark, tables, none):
     docs = none
     for _, stage in corpus_pipeline.STAGES:
