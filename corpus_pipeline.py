@@ -15,14 +15,15 @@ from diurna.llm.scratch import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others, without a letter, go."""
+    """Documents whose language can be told; only those without a letter go."""
     model = langid.train(docs)
-    judged = langid.identify(docs.withColumn("_row", F.struct(*docs.columns)), model, keep=["_row"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    judged = langid.identify(rows, model, keep=["_row"])
     return judged.filter(F.col("lang_pred") != langid.UNDETERMINED).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the least doc_id."""
+    """One document of each group of near copies: the one of the least doc_id, nulls last."""
     return jaccard.drop_similar(docs)
 
 
