@@ -117,6 +117,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(self.path)
         self.table = _classes()
         self.values = seeds(1 << 16, 3)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ready = True
 
     def _settle(self, points: np.ndarray) -> None:
@@ -144,6 +145,35 @@ class WordIds:
         """Ids of all rows, one after the other, and each row's number of ids."""
         if not self.ready:
             self._open()
+        raw = data.tobytes()
+        special = sorted({r for t in self.added if t in raw for r in self._rows_with(t, raw, offsets)})
+        if not special:
+            return self._encode(data, offsets)
+        # texts that name an added token go to the library as they are
+        rows = len(offsets) - 1
+        parts, counts, last = [], [], 0
+        for r in [*special, rows]:
+            ids, count = self._encode(data[offsets[last] : offsets[r]], offsets[last : r + 1] - offsets[last])
+            parts.append(ids)
+            counts.append(count)
+            if r < rows:
+                own = self.tokenizer.encode(raw[offsets[r] : offsets[r + 1]].decode("utf-8"), add_special_tokens=False).ids
+                parts.append(np.array(own, np.uint32))
+                counts.append(np.array([len(own)], np.int64))
+            last = r + 1
+        return np.concatenate(parts), np.concatenate(counts)
+
+    @staticmethod
+    def _rows_with(token: bytes, raw: bytes, offsets: np.ndarray):
+        at = raw.find(token)
+        while at >= 0:
+            r = int(np.searchsorted(offsets, at, side="right")) - 1
+            inside = at + len(token) <= offsets[r + 1]
+            if inside:
+                yield r
+            at = raw.find(token, int(offsets[r + 1]) if inside else at + 1)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
@@ -205,8 +235,9 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
     """Cut documents into pieces of at most ``capacity`` tokens.
 
     A document is its text's ids and ``end_id``; null counts as empty, so every
-    row has a piece.  Names of special tokens in a text are ordinary text.  Of a longer document the first piece holds what is over
-    from whole ones.  Returns ``key, piece, start, length, ids_crc32``.
+    row has a piece.  Names of added tokens in a text are these tokens, as in
+    the tokenizers library.  Of a longer document the first piece holds what is
+    over from whole ones.  Returns ``key, piece, start, length, ids_crc32``.
     """
     arrow_batches(docs.sparkSession)
     schema = docs.select(F.col(key)).schema.simpleString()[len("struct<") : -1].replace(":", " ", 1) + ", piece int, start long, length long, ids_crc32 long"
@@ -321,11 +352,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length``.
 
-    Pieces of a length are ranked within hash buckets and shifted by the
-    buckets before, so no task sees all pieces of a frequent length.
+    A full piece is a sequence of its own, with a negative number.  The others
+    of a length are ranked within hash buckets and shifted by the buckets
+    before, so no task sees all pieces of a frequent length.
     """
     spark = pieces.sparkSession
     pieces = materialize(pieces.withColumn("_bucket", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int")))
+    full = pieces.filter(F.col("length") == capacity).drop("_bucket").withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    pieces = pieces.filter(F.col("length") < capacity)
     sizes = pieces.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     table = sizes.toArrow()  # at most capacity * RANK_BUCKETS rows
     length, bucket, n = (table[c].to_numpy().astype(np.int64) for c in ("length", "_bucket", "_n"))
@@ -355,7 +389,7 @@ def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
             offset = p.offset[e] + i % p.each[e] * length
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(run, schema).unionByName(full)
 
 
 def _last_at_most(lengths, ranks, length, rank, top) -> np.ndarray:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 #: Words of 64 bits in a block; a key sets one bit in each.
 WORDS = 8
 BITS_PER_KEY = 16
@@ -109,7 +111,7 @@ def filter_urls(
     Returns ``key, host, path, canonical, listed, rule, verdict``, a row for
     each input row.
     """
-    names = listed.filter(F.col(listed_url).isNotNull()).select(canonical(F.col(listed_url)).alias("canonical")).distinct()
+    names = materialize(listed.filter(F.col(listed_url).isNotNull()).select(canonical(F.col(listed_url)).alias("canonical")).distinct())
     n = names.count()
     blocks = min(MAX_BLOCKS, max(1, -(-n * BITS_PER_KEY // (64 * WORDS))))
     bloom = blocked_bloom(names, "canonical", blocks)
@@ -121,7 +123,7 @@ def filter_urls(
     for i, p in enumerate(places):
         hit = hit & (F.call_function("shiftright", F.col(f"_w{i}"), p).bitwiseAND(F.lit(1)) == 1)
     rows = rows.select("_key", "host", "path", "canonical", F.coalesce(hit, F.lit(False)).alias("_possible"))
-    possible = rows.filter("_possible").join(names.withColumn("_listed", F.lit(True)), "canonical", "left")
+    possible = rows.filter("_possible").join(names.withColumn("_listed", F.lit(True)).hint("shuffle_hash"), "canonical", "left")
     judged = rows.filter("not _possible").withColumn("listed", F.lit(False)).unionByName(possible.withColumn("listed", F.coalesce("_listed", F.lit(False))).drop("_listed"))
     judged = judged.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))

@@ -14,9 +14,7 @@ from diurna.llm.textbatch import text_bytes
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary())
 
 
 def test_ids_equal_the_tokenizers(tokenizer):
@@ -30,6 +28,46 @@ def test_ids_equal_the_tokenizers(tokenizer):
         at += n
 
 
+def test_added_tokens_are_tokens(tokenizer):
+    texts = ["a <|endoftext|> b", "plain", "", "<|endoftext|>", "<|endof", "text|>", "x<|endoftext|><|endoftext|>", "é"]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    ids, count = packing.WordIds(vocabulary()).encode(*text_bytes(pa.array(texts)))
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert count.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by search."""
+    best = len(lengths)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in sorted({x for x in rooms if x >= lengths[i]}):
+            left = list(rooms)
+            left.remove(r)
+            go(i + 1, [*left, r - lengths[i]])
+        go(i + 1, [*rooms, capacity - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def test_plan_is_near_the_optimum():
+    """Small cases against exhaustive search: nearly all equal it, none needs more than one bin more."""
+    rng = random.Random(4)
+    over = []
+    for _ in range(150):
+        lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        counts = {n: lengths.count(n) for n in lengths}
+        over.append(packing.plan(counts, 20).sequences - fewest(lengths, 20))
+    assert min(over) == 0 and max(over) <= 1 and sum(over) <= 8
+
+
 def test_plan_places_every_piece():
     rng = random.Random(2)
     for _ in range(30):
