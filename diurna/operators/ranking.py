@@ -30,6 +30,25 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[
     return out.select(*[c for c in df.columns], *[(F.sum(s).over(inside) + F.col(f"_before_{s}")).alias(f"cum_{s}") for s in sums])
 
 
+def midpoints(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Middles between neighbours of the distinct values, 1 before the first and 1 after the last.
+
+    Values are cut at approximate quantiles; a bucket's last value meets the
+    first of the next one that has any.  Nulls are left out; no values, no rows.
+    """
+    rows = df.select(F.col(value).alias("_v")).filter("_v is not null").distinct()
+    cuts = rows.agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))  # one row
+    rows = rows.join(F.broadcast(cuts)).select("_v", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0)).alias("_bucket"))
+    ends = rows.groupBy("_bucket").agg(F.min("_v").alias("_first"))
+    ends = ends.select("_bucket", F.lead("_first").over(Window.orderBy("_bucket")).alias("_next"), (F.row_number().over(Window.orderBy("_bucket")) == 1).alias("_lowest"))  # a row for each bucket
+    inside = Window.partitionBy("_bucket").orderBy("_v")
+    out = rows.withColumns({"_follows": F.lead("_v").over(inside), "_i": F.row_number().over(inside)}).join(F.broadcast(ends), "_bucket")
+    follows = F.coalesce("_follows", "_next")
+    middle = F.coalesce((F.col("_v") + follows) / 2, F.col("_v") + 1)
+    lowest = F.col("_lowest") & (F.col("_i") == 1)
+    return out.select(F.explode(F.when(lowest, F.array(F.col("_v") - 1, middle)).otherwise(F.array(middle))).alias(value))
+
+
 def hash_rank(df: DataFrame, by: Sequence[str], digest: str) -> DataFrame:
     """Add ``rank`` from 1 in the order of a hexadecimal digest, by its first two digits."""
     by = list(by)

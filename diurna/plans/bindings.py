@@ -60,19 +60,22 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("subject"), (F.row_number().over(w) - 1).alias("pos"), code.cast("double").alias("x"))
 
 
+def class_of(label: str):
+    """Classes 0, 1, 2 of embeddings by their label."""
+    return F.when(F.col(label) <= 5, 0).when(F.col(label) <= 8, 1).otherwise(2)
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three scores that sum to 1 and a class 0, 1, 2 for each embedding."""
     from ..functions.scalars import softmax
 
     e = table(spark, sf_dir, "embeddings")
     p = softmax([F.col("embedding")[i].cast("double") for i in range(3)])
-    y = F.when(F.col("label") <= 5, 0).when(F.col("label") <= 8, 1).otherwise(2)
-    return e.select(F.col("vec_id").alias("id"), y.alias("y"), *[c.alias(f"p{i}") for i, c in enumerate(p)])
+    return e.select(F.col("vec_id").alias("id"), class_of("label").alias("y"), *[c.alias(f"p{i}") for i, c in enumerate(p)])
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings in long form with a class; every 17th value is missing."""
     e = table(spark, sf_dir, "embeddings")
-    y = F.when(F.col("label") <= 5, 0).when(F.col("label") <= 8, 1).otherwise(2)
-    long = e.select(F.col("vec_id").alias("subject"), y.alias("y"), F.posexplode("embedding").alias("feature", "v"))
+    long = e.select(F.col("vec_id").alias("subject"), class_of("label").alias("y"), F.posexplode("embedding").alias("feature", "v"))
     return long.select("subject", "y", "feature", F.when((F.col("subject") + F.col("feature")) % 17 != 0, F.col("v").cast("double")).alias("value"))

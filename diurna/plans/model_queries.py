@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax
-from ..operators import folds, matrix, metrics, policy
+from ..operators import folds, matrix, metrics, policy, ranking
 from . import bindings as b
 from .signal_queries import _r, rounded
 
@@ -64,20 +64,36 @@ def two_step_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.two_step_policy(_scores(spark, sf_dir), wide, fine))
 
 
-RECIPE = {
-    "kind": "ensemble",
-    "weights": [[2.0, 1.0, 1.0], 1.0],
-    "members": [
-        {"kind": "flat", "columns": ["p0", "p1", "p2"], "temperature": 1.5, "bias": [0.0, 0.1, -0.2]},
-        {"kind": "hierarchy", "last": "p2", "inner": "p1", "last_temperature": 0.8, "inner_bias": 0.3},
-    ],
-}
+def recipe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ensemble of a flat and a nested recipe."""
+    p = [F.col(f"p{k}") for k in range(3)]
+    flat = policy.flat_scores(p, 1.5, [0.0, 0.1, -0.2])
+    nested = policy.nested_scores(policy.tempered(p[2], 0.8), policy.tempered(p[1], bias=0.3))
+    mixed = policy.voted_scores([flat, nested], [[2.0, 1.0, 1.0], 1.0])
+    return rounded(_scores(spark, sf_dir).select("id", *[c.alias(f"q{k}") for k, c in enumerate(mixed)]))
 
 
-def recipe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ensemble of a flat and a hierarchical recipe."""
-    s = _scores(spark, sf_dir)
-    return rounded(s.select("id", *[c.alias(f"q{k}") for k, c in enumerate(policy.recipe_scores(RECIPE))]))
+def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of 125 subjects, pooled over their rows, to four digits; class subject % 3."""
+    pooled = policy.pool(_scores(spark, sf_dir).withColumn("key", F.col("id") % 125), "key")
+    return pooled.select((F.col("key") % 3).cast("int").alias("y"), *[F.round(F.col(f"p{k}") + 3e-10, 4).alias(f"p{k}") for k in range(3)])
+
+
+def breakpoint_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all offsets that decide differently."""
+    return rounded(policy.breakpoint_policy(_pooled(spark, sf_dir), (0.25, -0.25)))
+
+
+def breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Middles between the distinct rounded scores of the first class."""
+    return rounded(ranking.midpoints(_scores(spark, sf_dir).select(F.round(F.col("p0") + 3e-10, 3).alias("middle")), "middle"))
+
+
+def blend_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five weights of two raw score tables, with three shifts of two classes each."""
+    e = b.table(spark, sf_dir, "embeddings")
+    raw = e.select(b.class_of("label").alias("y"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("a0", "a1", "a2", "b0", "b1", "b2"))])
+    return rounded(policy.blend_grid(raw, ["a0", "a1", "a2"], ["b0", "b1", "b2"], [0.0, 0.25, 0.5, 0.75, 1.0], [-0.2, 0.0, 0.2]))
 
 
 def pooled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +120,16 @@ def objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile intervals of accuracy and macro recall over 100 resamples."""
-    draws = folds.bootstrap(_scores(spark, sf_dir).select("id", "y", "predicted"), 100, SEED)
+    return _intervals(spark, sf_dir, 100)
+
+
+def bootstrap_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over 2,000 resamples."""
+    return _intervals(spark, sf_dir, 2000)
+
+
+def _intervals(spark: SparkSession, sf_dir: str, repeats: int) -> DataFrame:
+    draws = folds.bootstrap(_scores(spark, sf_dir).select("id", "y", "predicted"), repeats, SEED)
     r = metrics.report(metrics.confusion(draws, by=["repeat"]))
     q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
     one = r.agg(q("accuracy").alias("a"), q("macro_recall").alias("m"), F.count(F.lit(1)).alias("repeats"))
@@ -176,7 +201,8 @@ QUERIES = {
     for f in (
         classification_report, score_quality, curve_points, log_loss, label_auc, offset_policy, offset_grid, two_step_policy, recipe_scores,
         pooled_scores, objectives, bootstrap_interval, stratified_folds, nested_folds, fold_composition, feature_statistics, anova_ranking,
-        scaled_matrix, feature_correlations, class_information, matrix_audit, sample_weights, naive_bayes,
+        scaled_matrix, feature_correlations, class_information, matrix_audit, sample_weights, naive_bayes, breakpoint_policy, breakpoints, blend_grid,
+        bootstrap_percentiles,
     )
 }
 
@@ -346,3 +372,69 @@ l AS (SELECT subject, k, sum(-0.5 * (ln(2 * pi() * v) + (value - a) * (value - a
 x AS (SELECT subject, k, exp(l - max(l) OVER (PARTITION BY subject)) AS x FROM l)
 SELECT subject, {", ".join(_r(f"coalesce(sum(x) FILTER (WHERE k = {k}), 0) / sum(x)", f"p{k}") for k in range(3))} FROM x GROUP BY subject""",
 }
+
+
+def _offset_figures(grid: str, cases: str = "said") -> str:
+    """SQL of the figures of all (i, a, b) of ``grid``, as ``fig``."""
+    counts = _counts("pred", "i, a, b")
+    return f"""
+logs AS (SELECT y, ln(least(greatest(p0, 1e-12), 1)) AS l0, ln(least(greatest(p1, 1e-12), 1)) AS l1, ln(least(greatest(p2, 1e-12), 1)) AS l2 FROM {cases}),
+shifted AS (SELECT i, a, b, y, l0, l1 + a AS l1, l2 + b AS l2 FROM logs, {grid}),
+pred AS (SELECT i, a, b, y, CASE WHEN l0 = greatest(l0, l1, l2) THEN 0 WHEN l1 = greatest(l0, l1, l2) THEN 1 ELSE 2 END AS predicted FROM shifted),
+counts AS ({counts}),
+fig AS (
+  SELECT i, a, b, {_FIG["macro_recall"]} AS macro_recall, least({_FIG["recall_0"]}, {_FIG["recall_1"]}, {_FIG["recall_2"]}) AS min_recall,
+    {_FIG["macro_f1"]} AS macro_f1, {_FIG["accuracy"]} AS accuracy,
+    sqrt(power((a + b) / 3, 2) + power(a - (a + b) / 3, 2) + power(b - (a + b) / 3, 2)) AS norm FROM counts)"""
+
+
+_BEST = "round(macro_recall, 12) DESC, round(min_recall, 12) DESC, round(macro_f1, 12) DESC, round(norm, 12)"
+_FIRST_STEP = _offset_figures("wide")
+_SECOND_STEP = _offset_figures("fine").replace("logs AS", "logs2 AS").replace("FROM logs,", "FROM logs2,").replace("shifted", "shifted2").replace("pred AS", "pred2 AS").replace("FROM pred ", "FROM pred2 ").replace("counts AS", "counts2 AS").replace("FROM counts)", "FROM counts2)").replace("fig AS", "fig2 AS")
+ORACLE_SQL["two_step_policy"] = f"""
+WITH {_SCORES},
+wide AS (SELECT CAST(25 * x.i + z.i AS INTEGER) AS i, (-4 + x.i / 3.0::DOUBLE) AS a, (-4 + z.i / 3.0::DOUBLE) AS b FROM range(25) x(i), range(25) z(i)), {_FIRST_STEP},
+best AS (SELECT a AS ca, b AS cb FROM fig ORDER BY {_BEST}, i DESC LIMIT 1),
+fine AS (
+  SELECT CAST(15 * x.i + z.i AS INTEGER) AS i, (-0.35::DOUBLE + 0.05::DOUBLE * x.i) + ca AS a, (-0.35::DOUBLE + 0.05::DOUBLE * z.i) + cb AS b FROM range(15) x(i), range(15) z(i), best
+  UNION ALL SELECT 225, ca, cb FROM best), {_SECOND_STEP}
+SELECT i, {', '.join(_r(c, c) for c in ('a', 'b', 'macro_recall', 'min_recall', 'macro_f1', 'accuracy', 'norm'))} FROM fig2 ORDER BY {_BEST}, i DESC LIMIT 1"""
+ORACLE_SQL["breakpoints"] = f"""
+WITH {_SCORES}, v AS (SELECT DISTINCT round(p0 + 3e-10, 3) AS v FROM said), n AS (SELECT v, lead(v) OVER (ORDER BY v) AS f FROM v)
+SELECT {_r("coalesce((v + f) / 2, v + 1)", "middle")} FROM n UNION ALL SELECT {_r("min(v) - 1", "middle")} FROM v"""
+ORACLE_SQL["breakpoint_policy"] = f"""
+WITH {_SCORES}, w AS (SELECT id % 125 AS key, avg(p0) AS a, avg(p1) AS b, avg(p2) AS c FROM said GROUP BY ALL),
+pooled AS (SELECT CAST(key % 3 AS INTEGER) AS y, round(a / (a + b + c) + 3e-10, 4) AS p0, round(b / (a + b + c) + 3e-10, 4) AS p1, round(c / (a + b + c) + 3e-10, 4) AS p2 FROM w),
+start AS (SELECT 0 AS i, 0.25::DOUBLE AS a, -0.25::DOUBLE AS b), {_offset_figures("start", "pooled")},
+lv AS (SELECT y, l0 - l2 AS u, l1 - l2 AS v FROM logs),
+x AS (SELECT DISTINCT s.u - t.v AS x FROM lv s, lv t),
+m AS (SELECT coalesce((x + lead(x) OVER (ORDER BY x)) / 2, x + 1) AS a FROM x UNION ALL SELECT min(x) - 1 FROM x),
+steps AS (
+  SELECT a, greatest(u, v + a) AS top, count(*) FILTER (WHERE y = 0) AS y0, count(*) FILTER (WHERE y = 1) AS y1, count(*) FILTER (WHERE y = 2) AS y2,
+    count(*) FILTER (WHERE y = 0 AND u >= v + a) AS h0, count(*) FILTER (WHERE y = 1 AND NOT u >= v + a) AS h1, count(*) FILTER (WHERE u >= v + a) AS c0, count(*) FILTER (WHERE NOT u >= v + a) AS c1
+  FROM m, lv GROUP BY ALL),
+t AS (
+  SELECT a, top, coalesce((top + lead(top) OVER o) / 2, top + 1) AS b, row_number() OVER o AS k, {", ".join(f"sum({c}) OVER p AS {c}a, sum({c}) OVER o AS {c}b" for c in ("y0", "y1", "y2", "h0", "h1", "c0", "c1"))}
+  FROM steps WINDOW o AS (PARTITION BY a ORDER BY top), p AS (PARTITION BY a)),
+points AS (
+  SELECT a, b, y0a, y1a, y2a, h0a - h0b AS h0, h1a - h1b AS h1, y2b AS h2, c0a - c0b AS c0, c1a - c1b AS c1, c0b + c1b AS c2 FROM t
+  UNION ALL SELECT a, top - 1, y0a, y1a, y2a, h0a, h1a, 0, c0a, c1a, 0 FROM t WHERE k = 1),
+found AS (
+  SELECT a, b, (h0 / y0a::DOUBLE + h1 / y1a::DOUBLE + h2 / y2a::DOUBLE) / 3 AS macro_recall, least(h0 / y0a::DOUBLE, h1 / y1a::DOUBLE, h2 / y2a::DOUBLE) AS min_recall,
+    (2 * h0 / (c0 + y0a)::DOUBLE + 2 * h1 / (c1 + y1a)::DOUBLE + 2 * h2 / (c2 + y2a)::DOUBLE) / 3 AS macro_f1,
+    sqrt(power((a + b) / 3, 2) + power(a - (a + b) / 3, 2) + power(b - (a + b) / 3, 2)) AS norm, 1 AS searched FROM points
+  UNION ALL SELECT a, b, macro_recall, min_recall, macro_f1, norm, 0 FROM fig)
+SELECT {', '.join(_r(c, c) for c in ('a', 'b', 'macro_recall', 'min_recall', 'macro_f1', 'norm'))} FROM found ORDER BY {_BEST}, searched DESC, a DESC, b DESC LIMIT 1"""
+ORACLE_SQL["blend_grid"] = f"""
+WITH raw AS (SELECT {_Y} AS y, {", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(("a0", "a1", "a2", "b0", "b1", "b2")))} FROM embeddings),
+g AS (
+  SELECT CAST(9 * w + 3 * s + t AS INTEGER) AS i, w * 0.25::DOUBLE AS weight, (s - 1) * 0.2::DOUBLE AS s, (t - 1) * 0.2::DOUBLE AS t FROM range(5) x(w), range(3) z(s), range(3) q(t)),
+o AS (SELECT i, weight, 0 - (s + t) / 3 AS o0, s - (s + t) / 3 AS o1, t - (s + t) / 3 AS o2 FROM g),
+z AS (SELECT y, i, weight, o0, o1, o2, {", ".join(f"weight * a{k} + (1 - weight) * b{k} + o{k} AS z{k}" for k in range(3))} FROM raw, o),
+ex AS (SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2 FROM z),
+p AS (SELECT *, CASE WHEN e0 = greatest(e0, e1, e2) THEN 0 WHEN e1 = greatest(e0, e1, e2) THEN 1 ELSE 2 END AS predicted, CASE y WHEN 0 THEN e0 WHEN 1 THEN e1 ELSE e2 END / (e0 + e1 + e2) AS own FROM ex),
+c AS ({_counts("p", "i, weight, o0, o1, o2")}), l AS (SELECT i, -avg(ln(own)) AS log_loss FROM p GROUP BY i),
+f AS (SELECT i, weight, o0, o1, o2, {_FIG["macro_f1"]} AS macro_f1, {_FIG["macro_recall"]} AS macro_recall, log_loss, sqrt(o0 * o0 + o1 * o1 + o2 * o2) AS norm FROM c JOIN l USING (i)),
+best AS (SELECT i AS best FROM f ORDER BY round(macro_f1, 12) DESC, round(log_loss, 12), round(norm, 12), weight, i LIMIT 1)
+SELECT i, {', '.join(_r(c, c) for c in ('weight', 'o0', 'o1', 'o2', 'macro_f1', 'macro_recall', 'log_loss', 'norm'))}, i = best AS selected FROM f, best"""
+ORACLE_SQL["bootstrap_percentiles"] = ORACLE_SQL["bootstrap_interval"].replace("range(100)", "range(2000)")

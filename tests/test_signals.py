@@ -82,7 +82,7 @@ def test_argmax_takes_the_first_of_ties(spark):
 
 def test_hierarchy_and_constant_scores(spark):
     df = spark.createDataFrame([(0.2, 0.4)], "d double, q double")
-    r = df.select(*[c.alias(f"p{k}") for k, c in enumerate(policy.recipe_scores({"kind": "hierarchy", "last": "d", "inner": "q"}))]).first()
+    r = df.select(*[c.alias(f"p{k}") for k, c in enumerate(policy.nested_scores(policy.tempered(F.col("d")), policy.tempered(F.col("q"))))]).first()
     assert [round(x, 9) for x in r] == [0.48, 0.32, 0.2]
 
 
@@ -96,8 +96,18 @@ def test_breakpoints_never_lower_recall(spark):
     assert best["macro_recall"] >= start["macro_recall"]
     again = policy.evaluate_offsets(df, [(best["a"], best["b"])]).first()
     assert math.isclose(again["macro_recall"], best["macro_recall"])
-    with pytest.raises(ValueError):
-        policy.breakpoint_policy(df, (0.0, 0.0), most=5)
+    # no pair of a fine grid does better
+    grid = [i / 8 for i in range(-40, 41)]
+    key = lambda r: (round(r["macro_recall"], 9), round(r["min_recall"], 9), round(r["macro_f1"], 9))
+    assert key(best) >= max(map(key, policy.evaluate_offsets(df, policy.grid(grid)).collect()))
+
+
+def test_midpoints(spark):
+    values = [3.0, 1.0, 1.0, None, 10.0, 4.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for buckets in (2, 64):
+        assert sorted(r["v"] for r in ranking.midpoints(df, "v", buckets).collect()) == [0.0, 2.0, 3.5, 7.0, 11.0]
+    assert ranking.midpoints(df.limit(0), "v").count() == 0
 
 
 def test_running_totals(spark):
