@@ -99,3 +99,24 @@ def guarded_slope(y: Column, x: Column, least: int = 4) -> Column:
     """OLS slope of y on x; NULL below ``least`` pairs or without spread in x."""
     both = x.isNotNull() & y.isNotNull()
     return F.when((F.count(F.when(both, y)) >= least) & (F.min(F.when(both, x)) < F.max(F.when(both, x))), F.regr_slope(y, x))
+
+
+# Coefficients of a published rational approximation of the normal quantile.
+_CENTRE = ((-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239), (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0))
+_TAIL = ((-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416, 1.0))
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal's quantile, to nine digits; for 0 < p < 1."""
+
+    def polynomial(coefficients: Sequence[float], x: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    r = p - 0.5
+    centre = polynomial(_CENTRE[0], r * r) * r / polynomial(_CENTRE[1], r * r)
+    t = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    tail = polynomial(_TAIL[0], t) / polynomial(_TAIL[1], t)
+    return F.when((p >= 0.02425) & (p <= 1 - 0.02425), centre).when(p < 0.5, tail).otherwise(-tail)

@@ -85,18 +85,23 @@ def correlations(filled: DataFrame, features: list) -> DataFrame:
     return row.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
 
 
-def correlation_filter(filled: DataFrame, ranked: list, limit: float, k: int, most: int = 500) -> list:
-    """The best-ranked features of which no two correlate by ``limit`` or more."""
-    if len(ranked) > most:
-        raise ValueError(f"at most {most} features")
-    r = {}
-    for row in correlations(filled, ranked).collect():
-        r[row["a"], row["b"]] = r[row["b"], row["a"]] = abs(row["r"] or 0.0)
-    chosen: list = []
-    for f in ranked:
-        if len(chosen) < k and all(r[f, c] < limit for c in chosen):
-            chosen.append(f)
-    return chosen
+def correlation_filter(filled: DataFrame, ranked: list, limit: float, k: int) -> list:
+    """The ``k`` best-ranked features of which no two correlate by ``limit`` or more.
+
+    The best ``3 k``, and 500 at least, are looked at, as in the ranking they
+    come from; their products are summed on the cluster, one matrix a task.
+    """
+    from .learners import vector_correlations, vectors
+
+    pool = ranked[: max(500, 3 * k)]
+    r: dict = {}
+    for a, b, c in vector_correlations(vectors(filled, pool), list(range(len(pool)))).collect():
+        r[a, b] = r[b, a] = abs(c or 0.0)
+    chosen: list[int] = []
+    for i in range(len(pool)):
+        if len(chosen) < k and all(r[i, c] < limit for c in chosen):
+            chosen.append(i)
+    return [pool[i] for i in chosen]
 
 
 def audit(long: DataFrame) -> DataFrame:

@@ -42,6 +42,16 @@ def report(counts: DataFrame) -> DataFrame:
     return counts.withColumns(out)
 
 
+def weighted_means(figures: DataFrame) -> DataFrame:
+    """Add means of precision, recall and F1 weighted by support to a report."""
+    every = sum((F.col(f"support_{k}") for k in CLASSES[1:]), F.col("support_0"))
+    out = {}
+    for name in ("precision", "recall", "f1"):
+        total = sum((F.col(f"support_{k}") * F.col(f"{name}_{k}") for k in CLASSES[1:]), F.col("support_0") * F.col(f"{name}_0"))
+        out[f"weighted_{name}"] = _zero(total, every)
+    return figures.withColumns(out)
+
+
 def _zero(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
 

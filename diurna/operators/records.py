@@ -81,20 +81,47 @@ def reconcile_labels(tables: Sequence[DataFrame], allowed: Sequence[str]) -> Dat
     return agg.select("subject", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.raise_error(F.concat(F.lit("conflicting labels of "), F.col("subject").cast("string")))).alias("label"))
 
 
-def distinct_predictions(scores: DataFrame, model: str, key: str, value: str, order: DataFrame, tolerance: float = 1e-8, most: int = 200) -> list:
-    """Models in ``order`` whose scores differ from every one kept before.
+def near_equal(scores: DataFrame, model: str, key: str, value: str, tolerance: float = 1e-8) -> DataFrame:
+    """Pairs of models whose scores differ nowhere by more than ``tolerance``: ``a, b``, a < b.
 
-    Greedy, so pairs are settled on the driver; models are at most ``most``.
+    A case's models stand in one row, so a pair needs no join of cases; each
+    task sends one row for each pair that has not differed in its cases, and
+    pairs that no task has told apart remain.  Models lack no case.
     """
-    names = [r[0] for r in order.limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} models")
-    # cases meet in rows of one value for each model, so no pair of cases is formed
-    wide = scores.filter(F.col(model).isin(names)).groupBy(key).pivot(model, names).agg(F.first(value))
-    gaps = [F.max(F.abs(F.col(f"`{a}`") - F.col(f"`{b}`"))).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
-    row = wide.agg(*gaps).first() if gaps else {}
-    kept: list[int] = []
-    for j in range(len(names)):
-        if all((row[f"{i}_{j}"] or 0.0) > tolerance for i in kept):
-            kept.append(j)
-    return [names[j] for j in kept]
+    wide = scores.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col(value).alias("v")))).alias("all"))
+    own = wide.select(F.col("all.m").alias("m"), F.col("all.v").alias("v"))
+
+    def same(batches):
+        import numpy as np
+        import pandas as pd
+
+        names, gap = None, None
+        for part in batches:
+            for m, v in zip(part["m"], part["v"], strict=True):
+                if names is None:
+                    names, gap = list(m), np.zeros((len(m), len(m)))
+                v = np.asarray(v, float)
+                for i in range(len(v)):  # one row of the matrix at a time
+                    np.maximum(gap[i], np.abs(v[i] - v), out=gap[i])
+        if names is not None:
+            i, j = np.nonzero(np.triu(gap <= tolerance, 1))
+            yield pd.DataFrame({"a": [names[x] for x in i] + [None], "b": [names[x] for x in j] + [None]})  # and one that counts tasks
+
+    kind = scores.schema[model].dataType.simpleString()
+    found = own.mapInPandas(same, f"a {kind}, b {kind}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).persist()
+    tasks = found.filter("a is null").select(F.col("n").alias("tasks"))
+    return found.filter("a is not null").join(tasks).filter("n = tasks").select("a", "b")  # one row
+
+
+def distinct_predictions(scores: DataFrame, model: str, key: str, value: str, order: DataFrame, tolerance: float = 1e-8) -> list:
+    """Models in ``order`` (a row for each) whose scores differ from every one kept before."""
+    names = [r[0] for r in order.collect()]
+    alike: dict = {}
+    for a, b in near_equal(scores, model, key, value, tolerance).collect():  # none but repeated models
+        alike.setdefault(a, set()).add(b)
+        alike.setdefault(b, set()).add(a)
+    kept: list = []
+    for n in names:
+        if not alike.get(n, set()) & set(kept):
+            kept.append(n)
+    return kept

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, learners, matrix
 from . import bindings as b
-from .model_queries import SEED
-from .signal_queries import rounded
+from .model_queries import _MATRIX, _STATS, SEED
+from .signal_queries import _r, rounded
 
 FEATURES = list(range(64))  # all of an embedding
 
@@ -51,7 +51,8 @@ def class_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oversampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learners.oversample(_vectors(spark, sf_dir), SEED)
+    out = learners.oversample(_vectors(spark, sf_dir), SEED)
+    return out.withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
 
 
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,16 @@ QUERIES = {
     f.__name__: f
     for f in (logistic_out_of_fold, forest_out_of_fold, discriminant_scores, kernel_scores, class_neighbours, oversampled, principal_components, permuted_importance, embedding_correlations)
 }
-ORACLE_SQL: dict[str, str] = {}
+_SCALED = f"""
+{_MATRIX}, s AS ({_STATS} FROM filled GROUP BY feature),
+x AS (SELECT subject, y, feature, greatest(-20, least(20, (coalesce(value, s.fill) - center) / scale)) AS value FROM m JOIN s USING (feature))"""
+ORACLE_SQL: dict[str, str] = {
+    "embedding_correlations": f"""
+WITH {_MATRIX} SELECT x.feature AS a, z.feature AS b, {_r("corr(x.value, z.value)", "r")} FROM filled x JOIN filled z ON x.subject = z.subject AND x.feature < z.feature GROUP BY ALL""",
+    "class_neighbours": f"""
+WITH {_SCALED}, d AS (
+  SELECT p.subject, p.y, q.subject AS neighbour, sqrt(sum((p.value - q.value) * (p.value - q.value))) AS distance
+  FROM x p JOIN x q ON p.y = q.y AND p.feature = q.feature AND p.subject <> q.subject GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY distance, neighbour) - 1 AS rank FROM d)
+SELECT subject, y, CAST(rank AS INTEGER) AS rank, neighbour, {_r("distance", "distance")} FROM k WHERE rank < 5""",
+}

@@ -231,3 +231,18 @@ def fingerprint(spark: SparkSession, paths: Sequence[str], settings: dict) -> st
     files = spark.read.format("binaryFile").load([check_path(p) for p in paths])
     digests = sorted(r[0] for r in files.select(F.sha2("content", 256)).collect())  # one for each file
     return hashlib.sha256(json.dumps([digests, settings], sort_keys=True).encode()).hexdigest()
+
+
+def inference_days(spark: SparkSession, activity: str | Sequence[str], sleep: str | Sequence[str], zone: str = "Asia/Seoul") -> tuple[DataFrame, DataFrame]:
+    """Daily metrics of subjects without labels, and the days each was observed.
+
+    The first has a row for each subject and date of either recording; the
+    second ``subject, observed_days``.
+    """
+    both = []
+    for name, path in (("activity", activity), ("sleep", sleep)):
+        r = RECORDINGS[name]
+        days, _ = subject_days(read_recording(spark, path, r), r, zone)
+        both.append(daily_metrics(days, r))
+    metrics = both[0].join(both[1], ["subject", "date"], "full")
+    return metrics, metrics.groupBy("subject").agg(F.count_distinct("date").alias("observed_days"))

@@ -54,6 +54,14 @@ def test_sleep(spark, tmp_path):
     assert first["sleep__state_length"] == 6 and first["sleep__state_code_4_longest_minutes"] == 5
 
 
+def test_inference_needs_no_labels(spark, tmp_path):
+    a = write(tmp_path / "a.csv", w.RECORDINGS["activity"], [activity(1), activity(2)])
+    s = write(tmp_path / "s.csv", w.RECORDINGS["sleep"], [sleep(1), sleep(4), sleep(5, EMAIL="b@x.org")])
+    metrics, days = w.inference_days(spark, a, s)
+    assert metrics.count() == 4 and len(metrics.columns) == 2 + 61 + 62
+    assert sorted(r["observed_days"] for r in days.collect()) == [1, 3]
+
+
 def test_guards(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("EMAIL,x\na,1\n")
     with pytest.raises(ValueError, match="missing columns"):
