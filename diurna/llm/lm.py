@@ -48,7 +48,7 @@ BLOCK_BYTES = 16 << 20
 #: Bytes of text for which a worker goes through the blocks once.
 GROUP_BYTES = 8 << 20
 #: Distinct n-grams that a task counts before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 19
 
 
 def _starts() -> np.ndarray:
@@ -110,6 +110,16 @@ def _in(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == values, at
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and where each value is among them; lean in memory."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.append(True, values[1:] != values[:-1])[: len(values)]
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return values[new], place
+
+
 @dataclass
 class Deal:
     """Which bucket an n-gram is in."""
@@ -188,12 +198,11 @@ class Model:
 
         Before the first stands an end.
         """
-        known, place = np.unique(np.append(tokens, END), return_inverse=True)
-        pairs = np.append(place[-1:], place[:-2]) * len(known) + place[:-1]
+        known, place = _distinct(np.append(tokens, END))
+        pairs = np.append(place[-1:], place[:-2]).astype(np.int64) * len(known) + place[:-1]
         del place
-        both, which = np.unique(pairs, return_inverse=True)
+        both, which = _distinct(pairs)
         del pairs
-        which = which.astype(np.int32)
         first, second = (both // len(known)).astype(np.int32), (both % len(known)).astype(np.int32)
         del both
         grams = pair(known[first], known[second])
@@ -430,12 +439,16 @@ def _scored(batches, model: Model, group_bytes: int):
     """Parts with their tokens, the tokens' rows and log10 probabilities."""
     for group in _grouped(chunks(batches, "text"), group_bytes):
         read = [sequence(*text_bytes(part.column("text"))) for part in group]
+        docs = [doc.astype(np.int32) for _, doc in read]
         # each part ends with an end, so they follow each other as rows do
-        logs = model.log10(np.concatenate([seq for seq, _ in read]))
+        tokens = np.concatenate([seq for seq, _ in read])
+        del read
+        logs = model.log10(tokens)
         last = 0
-        for part, (seq, doc) in zip(group, read, strict=True):
-            yield part, seq, doc, logs[last : last + len(seq)]
-            last += len(seq)
+        for part, doc in zip(group, docs, strict=True):
+            to = last + len(doc)
+            yield part, tokens[last:to], doc, logs[last:to]
+            last = to
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -472,7 +485,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
             base = np.zeros(len(known))
             base[frequent] = np.log10((head_n[at[frequent]] + 0.5) / scale)
             own = frequent[place]
-            pairs, times = np.unique(doc[~own] * len(known) + place[~own], return_counts=True)
+            pairs, times = np.unique(doc[~own].astype(np.int64) * len(known) + place[~own], return_counts=True)
             asks = len(pairs)
             add = lambda x: np.bincount(doc, weights=x, minlength=rows)
             ids = number + np.arange(rows)
