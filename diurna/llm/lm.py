@@ -44,9 +44,9 @@ BUCKET_TOKENS = 1 << 18
 #: A history of more tokens is spread over buckets, unless its share is tiny.
 HOT_TOKENS = 1 << 15
 #: Bytes of a block of buckets; one larger bucket is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text for which a worker goes through the blocks once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 #: Distinct n-grams that a task counts before it passes them on.
 HELD = 1 << 19
 
@@ -415,6 +415,7 @@ def _broadcast(built: DataFrame, buckets: int) -> tuple[list, list[int]]:
             filled[start[b] : start[b + 1]] = np.frombuffer(x.as_buffer(), np.uint64)
         history, total, share = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x.as_buffer(), k) for x in rows[c])]) for c, k in (("histories", np.uint64), ("totals", np.float32), ("shares", np.float32)))
         del rows
+        pa.default_memory_pool().release_unused()
         order = np.argsort(history)
         block = Block(begin, start, filled, history[order], total[order], share[order])
         blocks.append(spark.sparkContext.broadcast(block))
