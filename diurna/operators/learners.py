@@ -56,8 +56,14 @@ def class_scores(fit: Callable, train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def out_of_fold(fit: Callable, data: DataFrame, folds: DataFrame, k: int) -> DataFrame:
-    """Every subject's scores by the model that hasn't seen it; one row each, checked."""
-    rows = data.join(folds.select("subject", "fold"), "subject").cache()
+    """Every subject's scores by the model that hasn't seen it, a row each.
+
+    Subjects without a fold, or with two, are an error.
+    """
+    dealt = folds.groupBy("subject").agg(F.min("fold").alias("fold"), F.count(F.lit(1)).alias("_n"))
+    rows = data.join(dealt, "subject", "left")
+    sure = F.when((F.col("_n") == 1) & F.col("fold").between(0, k - 1), F.col("fold")).otherwise(F.raise_error(F.concat(F.lit("no single fold for "), F.col("subject").cast("string"))).cast("int"))
+    rows = rows.withColumn("fold", sure).drop("_n")
     parts = None
     for f in range(k):
         part = class_scores(fit, rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)).withColumn("fold", F.lit(f))
@@ -65,11 +71,20 @@ def out_of_fold(fit: Callable, data: DataFrame, folds: DataFrame, k: int) -> Dat
     return parts
 
 
+def _summed(arrays: DataFrame, size: int) -> np.ndarray:
+    """The sum of one array a row, made on the cluster place by place."""
+    out = np.zeros(size)
+    for r in arrays.select(F.posexplode(arrays.columns[0]).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toLocalIterator():
+        out[r["i"]] = r["x"]
+    return out
+
+
 def discriminant(train: DataFrame, shrinkage: float = 0.1, balance: float = 0.0) -> Callable[[DataFrame], DataFrame]:
     """Linear discriminants from class means and a shrunken pooled covariance.
 
     Priors are class counts ** (1 - balance).  Second moments are summed on the
-    cluster, one matrix for each task; d numbers squared reach the driver.
+    cluster, from one matrix for each task, number by number; d numbers squared
+    reach the driver.
     """
     d = len(train.first()["features"])
 
@@ -84,14 +99,13 @@ def discriminant(train: DataFrame, shrinkage: float = 0.1, balance: float = 0.0)
                 s[k] += x[y == k].sum(0)
         import pandas as pd
 
-        yield pd.DataFrame({"n": [n.tolist()], "s": [s.ravel().tolist()], "ss": [ss.ravel().tolist()]})
+        yield pd.DataFrame({"all": [np.concatenate([n, s.ravel(), ss.ravel()]).tolist()]})
 
     arrays = train.select("y", vector_to_array("features").alias("x"))
-    rows = arrays.mapInPandas(moments, "n array<double>, s array<double>, ss array<double>").collect()
-    n = sum(np.array(r["n"]) for r in rows)
-    s = sum(np.array(r["s"]).reshape(K, d) for r in rows)
+    sums = _summed(arrays.mapInPandas(moments, "all array<double>"), K + K * d + d * d)
+    n, s, ss = sums[:K], sums[K : K + K * d].reshape(K, d), sums[K + K * d :].reshape(d, d)
     means = s / n[:, None]
-    within = (sum(np.array(r["ss"]).reshape(d, d) for r in rows) - (means.T * n) @ means) / n.sum()
+    within = (ss - (means.T * n) @ means) / n.sum()
     within = (1 - shrinkage) * within + shrinkage * np.trace(within) / d * np.eye(d)
     w = np.linalg.solve(within, means.T).T
     prior = n ** (1 - balance)
@@ -123,7 +137,9 @@ def fourier_features(data: DataFrame, gamma: float, components: int = 64, seed:
 
 def kernel_machine(train: DataFrame, gamma: float = 0.01) -> Callable[[DataFrame], DataFrame]:
     """A max-margin machine over Fourier features, one class against the rest."""
-    model = OneVsRest(classifier=LinearSVC(maxIter=15, regParam=0.01), labelCol="y").fit(fourier_features(train, gamma))
+    lifted = fourier_features(train, gamma).persist()  # read by every step of three fits
+    model = OneVsRest(classifier=LinearSVC(maxIter=15, regParam=0.01), labelCol="y", parallelism=K).fit(lifted)
+    lifted.unpersist()
 
     def score(test: DataFrame) -> DataFrame:
         raw = vector_to_array("rawPrediction")
@@ -133,6 +149,37 @@ def kernel_machine(train: DataFrame, gamma: float = 0.01) -> Callable[[DataFrame
     return score
 
 
+def kernel_ridge(train: DataFrame, gamma: float = 0.01, strength: float = 1.0, components: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """Ridge regression on one-hot classes over Fourier features, put through softmax(3 x).
+
+    One pass: products of the lifted rows and their class sums are added up on
+    the cluster; ``components`` numbers squared reach the driver.
+    """
+    c = components
+
+    def products(batches):
+        import pandas as pd
+
+        zz, zy = np.zeros((c, c)), np.zeros((c, K))
+        for part in batches:
+            if len(part):
+                z = np.stack([np.asarray(v) for v in part["z"]])
+                zz += z.T @ z
+                zy += z.T @ np.eye(K)[part["y"].to_numpy()]
+        yield pd.DataFrame({"all": [np.concatenate([zz.ravel(), zy.ravel()]).tolist()]})
+
+    lifted = fourier_features(train, gamma, c).select("y", vector_to_array("features").alias("z"))
+    sums = _summed(lifted.mapInPandas(products, "all array<double>"), c * c + c * K)
+    w = np.linalg.solve(sums[: c * c].reshape(c, c) + strength * np.eye(c), sums[c * c :].reshape(c, K))
+
+    def score(test: DataFrame) -> DataFrame:
+        z = vector_to_array("features")
+        said = [3 * F.aggregate(F.zip_with(z, F.array(*[F.lit(float(v)) for v in w[:, k]]), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v) for k in range(K)]
+        return fourier_features(test, gamma, c).select("subject", "y", *[p.alias(f"p{k}") for k, p in enumerate(softmax(said))])
+
+    return score
+
+
 def principal_components(data: DataFrame, k: int) -> DataFrame:
     """First ``k`` components of centred vectors; signs are arbitrary."""
     centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(data).transform(data)
@@ -253,7 +300,7 @@ def vector_correlations(data: DataFrame, features: Sequence) -> DataFrame:
                 out += x.T @ x
         yield pd.DataFrame({"ss": [out.ravel().tolist()]})
 
-    total = sum(np.array(r["ss"]).reshape(d, d) for r in rows.mapInPandas(products, "ss array<double>").toLocalIterator())
+    total = _summed(rows.mapInPandas(products, "ss array<double>"), d * d).reshape(d, d)
     scale = np.sqrt(np.diag(total))
     pairs = [(features[i], features[j], float(total[i, j] / (scale[i] * scale[j])) if scale[i] and scale[j] else None) for i in range(d) for j in range(i + 1, d)]
     return data.sparkSession.createDataFrame(pairs, "a int, b int, r double")

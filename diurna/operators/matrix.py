@@ -66,11 +66,11 @@ def mutual_information(filled: DataFrame, bins: int = 10) -> DataFrame:
 
     A plain histogram estimate, not the nearest-neighbour one.
     """
-    w = Window.partitionBy("feature")
-    low, high = F.min("value").over(w), F.max("value").over(w)
-    at = F.least(F.lit(bins - 1), F.floor((F.col("value") - low) / F.nullif(high - low, F.lit(0.0)) * bins).cast("int"))
-    cells = filled.withColumn("b", F.coalesce(at, F.lit(0))).groupBy("feature", "y", "b").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumns({"nb": F.sum("n").over(Window.partitionBy("feature", "b")), "ny": F.sum("n").over(Window.partitionBy("feature", "y")), "all": F.sum("n").over(w)})
+    ends = filled.groupBy("feature").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))  # a row for each feature
+    at = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * bins).cast("int"))
+    cells = filled.join(ends, "feature").withColumn("b", F.coalesce(at, F.lit(0))).groupBy("feature", "y", "b").agg(F.count(F.lit(1)).alias("n"))
+    # windows over at most classes times bins rows of a feature
+    cells = cells.withColumns({"nb": F.sum("n").over(Window.partitionBy("feature", "b")), "ny": F.sum("n").over(Window.partitionBy("feature", "y")), "all": F.sum("n").over(Window.partitionBy("feature"))})
     return cells.groupBy("feature").agg(F.sum(F.col("n") / F.col("all") * F.ln(F.col("n") * F.col("all") / (F.col("nb") * F.col("ny")))).alias("mi"))
 
 

@@ -46,6 +46,12 @@ def kernel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
+def kernel_ridge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all by kernel ridge, learned from four in five subjects."""
+    data = _vectors(spark, sf_dir)
+    return rounded(learners.kernel_ridge(data.filter("subject % 5 <> 0"))(data))
+
+
 def class_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learners.neighbours(_vectors(spark, sf_dir)))
 
@@ -77,7 +83,7 @@ def embedding_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (logistic_out_of_fold, forest_out_of_fold, discriminant_scores, kernel_scores, class_neighbours, oversampled, principal_components, permuted_importance, embedding_correlations)
+    for f in (logistic_out_of_fold, forest_out_of_fold, discriminant_scores, kernel_scores, kernel_ridge_scores, class_neighbours, oversampled, principal_components, permuted_importance, embedding_correlations)
 }
 _SCALED = f"""
 {_MATRIX}, s AS ({_STATS} FROM filled GROUP BY feature),

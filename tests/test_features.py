@@ -141,3 +141,43 @@ def test_correlation_filter_of_many_features(spark):
     chosen = matrix.correlation_filter(long, list(range(40)), 0.99, 8)
     assert len(chosen) == 8 and all(f % 2 == 0 for f in chosen)
     assert learners.vectors(long, [1, 0]).count() == 20
+
+
+def _cases(spark, n=240):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3, [float(x) for x in rng.normal(size=3) + 2 * np.eye(3)[i % 3]]) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "subject long, y int, f array<double>").select("subject", "y", array_to_vector("f").alias("features"))
+
+
+def test_discriminant_equals_plain_algebra(spark):
+    import numpy as np
+
+    rows, data = _cases(spark)
+    x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    means = np.stack([x[y == k].mean(0) for k in range(3)])
+    within = sum((x[y == k] - means[k]).T @ (x[y == k] - means[k]) for k in range(3)) / len(x)
+    within = 0.9 * within + 0.1 * np.trace(within) / 3 * np.eye(3)
+    w = np.linalg.solve(within, means.T).T
+    z = x @ w.T + np.log(1 / 3) - 0.5 * (w * means).sum(1)
+    want = np.exp(z - z.max(1, keepdims=True))
+    want /= want.sum(1, keepdims=True)
+    got = np.array([[r["p0"], r["p1"], r["p2"]] for r in learners.discriminant(data)(data).orderBy("subject").collect()])
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_kernel_ridge_learns(spark):
+    rows, data = _cases(spark)
+    got = learners.kernel_ridge(data.filter("subject % 2 = 0"), gamma=0.1)(data.filter("subject % 2 = 1")).collect()
+    assert sum(max(range(3), key=lambda k: r[f"p{k}"]) == r["y"] for r in got) > 0.7 * len(got)
+
+
+def test_folds_must_be_whole(spark):
+    rows, data = _cases(spark, 30)
+    folds = spark.createDataFrame([(i, i % 3) for i in range(30)], "subject long, fold int")
+    assert learners.out_of_fold(learners.logistic(1.0), data, folds, 3).count() == 30
+    for bad in (folds.filter("subject > 0"), folds.unionByName(folds.limit(1))):
+        with pytest.raises(Exception, match="no single fold"):
+            learners.out_of_fold(learners.logistic(1.0), data, bad, 3).collect()
