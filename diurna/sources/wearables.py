@@ -246,3 +246,80 @@ def inference_days(spark: SparkSession, activity: str | Sequence[str], sleep: st
         both.append(daily_metrics(days, r))
     metrics = both[0].join(both[1], ["subject", "date"], "full")
     return metrics, metrics.groupBy("subject").agg(F.count_distinct("date").alias("observed_days"))
+
+
+# Metrics whose change from day to day is summarised.
+CHANGING = {
+    "activity": ("steps", "average_met", "inactive", "met_cosinor_amplitude", "met_relative_high10_low5"),
+    "sleep": ("total", "efficiency", "hr_average", "rmssd", "awake_fraction", "deep_fraction", "rem_fraction"),
+}
+# Metrics of a day that are held against those of a sleep.
+COUPLED = (("steps", "total"), ("steps", "efficiency"), ("average_met", "rmssd"), ("inactive", "awake_fraction"))
+_SPREAD = ("median", "iqr", "p10", "p90", "missing_fraction")
+_CHANGE = ("day_rmssd", "trend_per_day", "consecutive_lag1")
+_WAKE_DAYS = ((0, "same_wake_day"), (1, "next_wake_day"))
+
+
+def _named(table: DataFrame, names: dict[str, Column]) -> DataFrame:
+    """Columns of a table by subject as rows ``subject, feature, value``."""
+    return table.select("subject", *[c.cast("double").alias(n) for n, c in names.items()]).unpivot([F.col("subject")], [F.col(f"`{n}`") for n in names], "feature", "value")
+
+
+def _stacked(table: DataFrame, statistics: Sequence[str]) -> DataFrame:
+    """Statistics by subject and metric as rows ``subject, feature, value``."""
+    return table.select("subject", "metric", F.posexplode(F.array(*[F.col(x).cast("double") for x in statistics])).alias("i", "value")).select(
+        "subject", F.concat("metric", F.lit("__"), F.get(F.array(*[F.lit(x) for x in statistics]), F.col("i"))).alias("feature"), "value"
+    )
+
+
+def subject_features(activity: DataFrame, sleep: DataFrame, least: int = 7, within: int | None = None) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    """All features of a subject's days, wide, as floats; and (feature, modality, family) of each.
+
+    Both tables hold clean days, as ``subject_days`` gives them.  Subjects with
+    fewer than ``least`` dates are left out.  One without days of a kind misses
+    everything there: its missing fractions are 1, its counts 0.
+    """
+    from ..operators import days as d
+    from ..operators import summaries
+
+    kept = dict(zip(("activity", "sleep"), d.observed_window([activity, sleep], within, least), strict=True))
+    metrics = {m: daily_metrics(kept[m], RECORDINGS[m]) for m in kept}
+    parts, meta, empty = [], [], {}
+    for m, frame in metrics.items():
+        names = [c for c in frame.columns if c not in ("subject", "date")]
+        family = {n: f for n, _, f in metric_meta(names)}
+        long = d.long_form(frame, names)
+        parts.append(_stacked(summaries.quantiles(long), _SPREAD))
+        meta += [(f"{n}__{s}", m, "quality" if s == "missing_fraction" else family[n]) for n in names for s in _SPREAD]
+        empty |= {f"{n}__missing_fraction": 1.0 for n in names}
+        span = F.datediff(F.max("date"), F.min("date")) + 1
+        counts = frame.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), span.alias("span"))
+        quality = {f"{m}__quality_n_days": F.col("n"), f"{m}__quality_span_days": F.col("span"), f"{m}__quality_coverage": F.col("n") / F.col("span")}
+        parts.append(_named(counts, quality))
+        meta += [(n, m, "quality") for n in quality]
+        empty |= {f"{m}__quality_n_days": 0.0, f"{m}__quality_span_days": 0.0}
+        changing = [f"{m}__{n}" for n in CHANGING[m]]
+        parts.append(_stacked(summaries.consecutive_days(long.filter(F.col("metric").isin(changing))), _CHANGE))
+        meta += [(f"{n}__{s}", m, "physiology") for n in changing for s in _CHANGE]
+    parts.append(_named(sequences.profile_stability(hour_profiles(kept["activity"]), ["subject"]), {"activity__hourly_profile_stability": F.col("stability")}))
+    meta.append(("activity__hourly_profile_stability", "activity", "physiology"))
+    phases = {}
+    for n in ("bedtime", "wake"):
+        sin, cos = F.col(f"sleep__{n}_sin"), F.col(f"sleep__{n}_cos")
+        both = sin.isNotNull() & cos.isNotNull()
+        phases[f"sleep__{n}_regularity"] = F.hypot(F.avg(F.when(both, sin)), F.avg(F.when(both, cos)))
+    parts.append(_named(metrics["sleep"].groupBy("subject").agg(*[c.alias(n) for n, c in phases.items()]), {n: F.col(n) for n in phases}))
+    meta += [(n, "sleep", "physiology") for n in phases]
+    for shift, title in _WAKE_DAYS:
+        pairs = [(f"activity__{a}", f"sleep__{b}") for a, b in COUPLED]
+        table = summaries.coupling(metrics["activity"], metrics["sleep"], pairs, shift)
+        names = {f"coupling__{title}_n_pairs": F.col("n_pairs")}
+        names |= {f"coupling__{title}__{a}__{b}_corr": F.col(f"activity__{a}__sleep__{b}_corr") for a, b in COUPLED}
+        parts.append(_named(table, names))
+        meta += [(n, "coupling", "quality" if n.endswith("n_pairs") else "physiology") for n in names]
+        empty[f"coupling__{title}_n_pairs"] = 0.0
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    wide = rows.groupBy("subject").pivot("feature", [n for n, _, _ in meta]).agg(F.first("value"))
+    return wide.select("subject", *[F.coalesce(F.col(f"`{n}`"), F.lit(empty.get(n))).cast("float").alias(n) for n, _, _ in meta]), meta

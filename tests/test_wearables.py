@@ -62,6 +62,27 @@ def test_inference_needs_no_labels(spark, tmp_path):
     assert sorted(r["observed_days"] for r in days.collect()) == [1, 3]
 
 
+def test_subject_features(spark, tmp_path):
+    r = w.RECORDINGS
+    rows = [activity(d, activity_steps=100 * d) for d in (1, 2, 3, 4, 5, 7, 8, 9, 10)] + [activity(d, EMAIL="b@x.org") for d in range(1, 5)] + [activity(d, EMAIL="c@x.org") for d in range(1, 9)]
+    nights = [sleep(d, sleep_total=60 + d) for d in (1, 2, 3, 4, 5, 7, 8, 9)]
+    a, _ = w.subject_days(w.read_recording(spark, write(tmp_path / "a.csv", r["activity"], rows), r["activity"]), r["activity"])
+    s, _ = w.subject_days(w.read_recording(spark, write(tmp_path / "s.csv", r["sleep"], nights), r["sleep"]), r["sleep"])
+    wide, meta = w.subject_features(a, s)
+    assert len(wide.columns) == 1 + 670 and len({m[0] for m in meta}) == 670
+    assert {t for _, t in wide.dtypes[1:]} == {"float"}
+    import hashlib
+
+    got = {x["subject"]: x for x in wide.collect()}
+    one, other = (got.pop(hashlib.sha256(k).hexdigest()) for k in (b"a@x.org", b"c@x.org"))
+    assert not got  # too few days
+    assert (one["activity__steps__median"], one["activity__quality_n_days"], one["activity__quality_span_days"]) == (500.0, 9.0, 10.0)
+    assert one["activity__steps__day_rmssd"] == 100.0 and abs(one["activity__steps__trend_per_day"] - 100.0) < 1e-3
+    assert one["coupling__same_wake_day_n_pairs"] == 7.0 and abs(one["coupling__same_wake_day__steps__total_corr"] - 1) < 1e-6
+    assert abs(one["sleep__bedtime_regularity"] - 1) < 1e-6 and one["activity__steps__missing_fraction"] == 0.0
+    assert other["sleep__total__missing_fraction"] == 1.0 and other["sleep__quality_n_days"] == 0.0 and other["sleep__total__median"] is None
+
+
 def test_guards(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("EMAIL,x\na,1\n")
     with pytest.raises(ValueError, match="missing columns"):
