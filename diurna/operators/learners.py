@@ -254,9 +254,14 @@ def oversample(data: DataFrame, seed: int, k: int = 5) -> DataFrame:
     return both.select("y", "parent", "neighbour", mixed.alias("features"))
 
 
-def permutation_importance(scored: Callable[[DataFrame], DataFrame], long: DataFrame, features: Sequence, repeats: int, seed: int) -> DataFrame:
+def permutation_importance(
+    scored: Callable[[DataFrame], DataFrame], long: DataFrame, features: Sequence, repeats: int, seed: int, groups: dict[str, Sequence] | None = None
+) -> DataFrame:
     """Macro AUC lost when a feature's values are dealt anew among subjects.
 
+    With ``groups`` the features of each named group are dealt together, and
+    ``feature`` holds the group's name.
+
     A permutation is a join on ranks: of subjects in one hash order and of
     donors in another.  All permuted tables are scored in one plan, in which
     ``subject`` is a struct of the subject, the feature and the repeat.
@@ -275,11 +280,14 @@ def permutation_importance(scored: Callable[[DataFrame], DataFrame], long: DataF
     a = hash_rank(turns.withColumn("_d", digest(F.lit(seed), F.col("repeat"), F.col("subject"))), ["repeat"], "_d").select("repeat", "rank", "subject")
     c = hash_rank(turns.withColumn("_d", digest(F.lit(seed + 1), F.col("repeat"), F.col("subject"))), ["repeat"], "_d").select("repeat", "rank", F.col("subject").alias("donor"))
     dealt = a.join(c, ["repeat", "rank"]).join(data, "subject").join(data.select(F.col("subject").alias("donor"), F.col("x").alias("z")), "donor")
-    at = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
-    mixed = F.transform("x", lambda v, i: F.when(i == F.col("i"), F.get("z", i)).otherwise(v))
-    name = F.get(F.array(*[F.lit(f) for f in features]), F.col("i"))
+    sets = {f: [f] for f in features} if groups is None else groups
+    place = {f: i for i, f in enumerate(features)}
+    turns_of = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(place[f]) for f in own]).alias("own")) for name, own in sets.items()])
+    at = dealt.withColumn("g", F.explode(turns_of))
+    mixed = F.transform("x", lambda v, i: F.when(F.array_contains("g.own", i), F.get("z", i)).otherwise(v))
+    name = F.col("g.name")
     rows = at.select(F.struct("subject", name.alias("feature"), "repeat").alias("subject"), "y", array_to_vector(mixed).alias("features"))
-    own = F.struct("subject", F.lit(features[0]).alias("feature"), F.lit(-1).alias("repeat")).alias("subject")
+    own = F.struct("subject", F.lit(next(iter(sets))).alias("feature"), F.lit(-1).alias("repeat")).alias("subject")
     base = macro(data.select(own, "y", array_to_vector("x").alias("features"))).first()["auc"]
     return macro(rows).select("feature", "repeat", (F.lit(base) - F.col("auc")).alias("drop"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, learners, matrix
+from ..operators import features, folds, learners, matrix
 from . import bindings as b
 from .model_queries import _MATRIX, _STATS, SEED
 from .signal_queries import _r, rounded
@@ -75,6 +75,15 @@ def permuted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learners.permutation_importance(score, long, FEATURES, 50, SEED))
 
 
+def permuted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC lost by four groups of features in 50 permutations each, summed up."""
+    long = _scaled(spark, sf_dir).cache()
+    score = learners.discriminant(learners.vectors(long, FEATURES))
+    groups = {f"group_{g}": FEATURES[16 * g : 16 * g + 16] for g in range(4)}
+    drops = learners.permutation_importance(score, long, FEATURES, 50, SEED, groups)
+    return rounded(features.drop_summary(drops, ["feature"]))
+
+
 def embedding_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of features; ``feature_correlations`` has the first twelve."""
     m = b.matrix(spark, sf_dir)
@@ -83,7 +92,7 @@ def embedding_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (logistic_out_of_fold, forest_out_of_fold, discriminant_scores, kernel_scores, kernel_ridge_scores, class_neighbours, oversampled, principal_components, permuted_importance, embedding_correlations)
+    for f in (logistic_out_of_fold, forest_out_of_fold, discriminant_scores, kernel_scores, kernel_ridge_scores, class_neighbours, oversampled, principal_components, permuted_importance, permuted_groups, embedding_correlations)
 }
 _SCALED = f"""
 {_MATRIX}, s AS ({_STATS} FROM filled GROUP BY feature),

@@ -181,3 +181,13 @@ def test_folds_must_be_whole(spark):
     for bad in (folds.filter("subject > 0"), folds.unionByName(folds.limit(1))):
         with pytest.raises(Exception, match="no single fold"):
             learners.out_of_fold(learners.logistic(1.0), data, bad, 3).collect()
+
+
+def test_groups_are_permuted_together(spark):
+    rows, data = _cases(spark, 60)
+    long = spark.createDataFrame([(i, y, f, x) for i, y, v in rows for f, x in enumerate([*v, 0.5])], "subject long, y int, feature int, value double").filter("subject < 60")
+    score = learners.discriminant(learners.vectors(long, [0, 1, 2, 3]))
+    drops = learners.permutation_importance(score, long, [0, 1, 2, 3], 6, 1, {"all": [0, 1, 2, 3], "one": [0], "none": [3]})
+    out = {r["feature"]: r for r in features.drop_summary(drops, ["feature"]).collect()}
+    assert out["all"]["mean"] > out["one"]["mean"] > 0 and abs(out["none"]["mean"]) < 1e-9 and out["all"]["repeats"] == 6
+    assert out["all"]["q05"] <= out["all"]["median"] <= out["all"]["q95"] and out["all"]["sd"] > 0
