@@ -89,6 +89,11 @@ def breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.midpoints(_scores(spark, sf_dir).select(F.round(F.col("p0") + 3e-10, 3).alias("middle")), "middle"))
 
 
+def recipe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best of 200 random recipes."""
+    return rounded(policy.recipe_search(_scores(spark, sf_dir), 200, SEED))
+
+
 def blend_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five weights of two raw score tables, with three shifts of two classes each."""
     e = b.table(spark, sf_dir, "embeddings")
@@ -202,6 +207,7 @@ QUERIES = {
         classification_report, score_quality, curve_points, log_loss, label_auc, offset_policy, offset_grid, two_step_policy, recipe_scores,
         pooled_scores, objectives, bootstrap_interval, stratified_folds, nested_folds, fold_composition, feature_statistics, anova_ranking,
         scaled_matrix, feature_correlations, class_information, matrix_audit, sample_weights, naive_bayes, breakpoint_policy, breakpoints, blend_grid,
+        recipe_search,
         bootstrap_percentiles,
     )
 }
@@ -438,3 +444,23 @@ f AS (SELECT i, weight, o0, o1, o2, {_FIG["macro_f1"]} AS macro_f1, {_FIG["macro
 best AS (SELECT i AS best FROM f ORDER BY round(macro_f1, 12) DESC, round(log_loss, 12), round(norm, 12), weight, i LIMIT 1)
 SELECT i, {', '.join(_r(c, c) for c in ('weight', 'o0', 'o1', 'o2', 'macro_f1', 'macro_recall', 'log_loss', 'norm'))}, i = best AS selected FROM f, best"""
 ORACLE_SQL["bootstrap_percentiles"] = ORACLE_SQL["bootstrap_interval"].replace("range(100)", "range(2000)")
+_U = [f"({_hash48(f"'{SEED}:' || i || ':{j}'")} / 281474976710656.0::DOUBLE)" for j in range(4)]
+ORACLE_SQL["recipe_search"] = f"""
+WITH {_SCORES}, u AS (SELECT CAST(i AS INTEGER) AS i, i % 4 = 0 AS flat, {", ".join(f"{u} AS u{j}" for j, u in enumerate(_U))} FROM range(200) r(i)),
+g AS (
+  SELECT i, flat, exp(2.4 * u0 - 1.2) AS t0, exp(2.4 * u1 - 1.2) AS t1, CASE WHEN flat THEN 2.4 * u1 - 1.2 ELSE 3 * u2 - 1.5 END AS b0, CASE WHEN flat THEN 2.4 * u2 - 1.2 ELSE 3 * u3 - 1.5 END AS b1 FROM u),
+z AS (
+  SELECT i, flat, y, exp(ln(p0) / t0) AS f0, exp(ln(p1) / t0 + b0) AS f1, exp(ln(p2) / t0 + b1) AS f2,
+    1 / (1 + exp(-(ln(p2 / (1 - p2)) / t0 + b0))) AS d, 1 / (1 + exp(-(ln(p1 / (1 - p1)) / t1 + b1))) AS q FROM said, g),
+s AS (
+  SELECT i, flat, y, CASE WHEN flat THEN f0 / (f0 + f1 + f2) ELSE (1 - d) * (1 - q) END AS p0, CASE WHEN flat THEN f1 / (f0 + f1 + f2) ELSE (1 - d) * q END AS p1,
+    CASE WHEN flat THEN f2 / (f0 + f1 + f2) ELSE d END AS p2 FROM z),
+t AS (SELECT *, CASE WHEN p0 = greatest(p0, p1, p2) THEN 0 WHEN p1 = greatest(p0, p1, p2) THEN 1 ELSE 2 END AS predicted FROM s),
+c AS ({_counts("t", "i, flat")}),
+ovr AS ({" UNION ALL ".join(f"SELECT i, {k} AS class, round(p{k}, 9) AS score, CAST(y = {k} AS BIGINT) AS hit FROM s" for k in range(3))}),
+steps AS (SELECT i, class, score, sum(hit) AS hits, sum(1 - hit) AS misses FROM ovr GROUP BY ALL),
+run AS (SELECT *, sum(misses) OVER (PARTITION BY i, class ORDER BY score DESC) AS fp, sum(hits) OVER (PARTITION BY i, class) AS pos, sum(misses) OVER (PARTITION BY i, class) AS neg FROM steps),
+a AS (SELECT i, avg(auc) AS auc FROM (SELECT i, class, sum(hits * (neg - fp + misses / 2.0)) / (max(pos) * max(neg))::DOUBLE AS auc FROM run GROUP BY ALL) GROUP BY i),
+r AS (SELECT i, flat, auc, {_FIG["macro_recall"]} AS macro_recall, {_FIG["macro_f1"]} AS macro_f1 FROM c JOIN a USING (i)),
+o AS (SELECT *, CASE WHEN auc >= 0.8 AND macro_recall >= 0.8 THEN 1 ELSE 0 END + least(auc, macro_recall) + 0.02 * (auc + macro_recall) / 2 + 0.001 * macro_f1 AS objective FROM r)
+SELECT i, flat, {', '.join(_r(c, c) for c in ('auc', 'macro_recall', 'macro_f1', 'objective'))} FROM o ORDER BY round(objective, 9) DESC, i LIMIT 20"""
