@@ -280,10 +280,21 @@ def subject_features(activity: DataFrame, sleep: DataFrame, least: int = 7, with
     everything there: its missing fractions are 1, its counts 0.
     """
     from ..operators import days as d
-    from ..operators import summaries
 
     kept = dict(zip(("activity", "sleep"), d.observed_window([activity, sleep], within, least), strict=True))
-    metrics = {m: daily_metrics(kept[m], RECORDINGS[m]) for m in kept}
+    rows, meta, empty = subject_rows(kept, {m: daily_metrics(kept[m], RECORDINGS[m]) for m in kept})
+    wide = rows.groupBy("subject").pivot("feature", [n for n, _, _ in meta]).agg(F.first("value"))
+    return wide.select("subject", *[F.coalesce(F.col(f"`{n}`"), F.lit(empty.get(n))).cast("float").alias(n) for n, _, _ in meta]), meta
+
+
+def subject_rows(kept: dict[str, DataFrame], metrics: dict[str, DataFrame]) -> tuple[DataFrame, list[tuple[str, str, str]], dict[str, float]]:
+    """Features as rows ``subject, feature, value``; what each is; and its value where a row is absent.
+
+    ``kept``: clean days by modality, ``metrics``: their daily metrics.
+    """
+    from ..operators import days as d
+    from ..operators import summaries
+
     parts, meta, empty = [], [], {}
     for m, frame in metrics.items():
         names = [c for c in frame.columns if c not in ("subject", "date")]
@@ -321,5 +332,4 @@ def subject_features(activity: DataFrame, sleep: DataFrame, least: int = 7, with
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    wide = rows.groupBy("subject").pivot("feature", [n for n, _, _ in meta]).agg(F.first("value"))
-    return wide.select("subject", *[F.coalesce(F.col(f"`{n}`"), F.lit(empty.get(n))).cast("float").alias(n) for n, _, _ in meta]), meta
+    return rows, meta, empty
