@@ -79,8 +79,8 @@ def _summed(arrays: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def discriminant(train: DataFrame, shrinkage: float = 0.1, balance: float = 0.0) -> Callable[[DataFrame], DataFrame]:
-    """Linear discriminants from class means and a shrunken pooled covariance.
+def discriminant_weights(train: DataFrame, shrinkage: float = 0.1, balance: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and constants, by class, of linear discriminants from class means and a shrunken pooled covariance.
 
     Priors are class counts ** (1 - balance).  Second moments are summed on the
     cluster, from one matrix for each task, number by number; d numbers squared
@@ -109,7 +109,12 @@ def discriminant(train: DataFrame, shrinkage: float = 0.1, balance: float = 0.0)
     within = (1 - shrinkage) * within + shrinkage * np.trace(within) / d * np.eye(d)
     w = np.linalg.solve(within, means.T).T
     prior = n ** (1 - balance)
-    b = np.log(prior / prior.sum()) - 0.5 * (w * means).sum(1)
+    return w, np.log(prior / prior.sum()) - 0.5 * (w * means).sum(1)
+
+
+def discriminant(train: DataFrame, shrinkage: float = 0.1, balance: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """Scores by linear discriminants learned from ``train``."""
+    w, b = discriminant_weights(train, shrinkage, balance)
 
     def score(test: DataFrame) -> DataFrame:
         x = vector_to_array("features")
@@ -322,6 +327,105 @@ def linear_contributions(data: DataFrame, coefficients: Sequence[float], means:
     return data.select("subject", F.posexplode(phi).alias("feature", "contribution"))
 
 
+#: Rows that stand for a missing feature, at most.
+BACKGROUND = 80
+
+
+def background_rows(data: DataFrame, seed: int, n: int = BACKGROUND) -> np.ndarray:
+    """``n`` rows of features, at most, chosen by a hash of the subject."""
+    rows = data.select(hash_int(F.lit(seed), F.col("subject")).alias("h"), "subject", vector_to_array("features").alias("x"))
+    return np.array([r["x"] for r in rows.orderBy("h", "subject").limit(n).collect()], float)
+
+
+def shapley_values(data: DataFrame, score: Callable[[np.ndarray], np.ndarray], background: np.ndarray, seed: int, rounds: int = 1) -> DataFrame:
+    """Shapley values from permutations: ``subject, feature, klass, contribution``.
+
+    ``score`` maps rows of features to a row of figures, one a class.  In each
+    round a subject's features join the background rows in a random order and
+    then in its reverse; what the mean score gains at a feature is its part.
+    Parts add up to the subject's score less the background's mean score.  The
+    order comes from the subject and the round, so a task run again agrees.
+    """
+    d = background.shape[1]
+
+    def explain(batches):
+        import pandas as pd
+
+        base = score(background).mean(0)
+        for part in batches:
+            for subject, x in zip(part["subject"], part["x"], strict=True):
+                x = np.asarray(x, float)
+                phi = np.zeros((d, len(base)))
+                for r in range(rounds):
+                    order = np.random.default_rng([seed, r, abs(int(subject)), int(subject < 0)]).permutation(d)
+                    for turn in (order, order[::-1]):
+                        mixed = background.copy()
+                        last = base
+                        for f in turn:
+                            mixed[:, f] = x[f]
+                            now = score(mixed).mean(0)
+                            phi[f] += now - last
+                            last = now
+                phi /= 2 * rounds
+                yield pd.DataFrame({"subject": subject, "feature": np.repeat(np.arange(d), len(base)), "klass": np.tile(np.arange(len(base)), d), "contribution": phi.ravel()})
+
+    rows = data.select(F.col("subject").cast("long").alias("subject"), vector_to_array("features").alias("x"))
+    return rows.mapInPandas(explain, "subject long, feature int, klass int, contribution double")
+
+
+#: Families that a search draws from, and the ranges of what it draws: on a log scale, or whole numbers.
+SPACES: dict[str, dict[str, tuple[str, float, float]]] = {
+    "logistic": {"c": ("log", 1e-3, 10.0)},
+    "forest": {"trees": ("int", 5, 40), "depth": ("int", 2, 8)},
+    "boosted": {"trees": ("int", 5, 20), "depth": ("int", 2, 4)},
+}
+FAMILIES: dict[str, Callable] = {"logistic": logistic, "forest": forest, "boosted": boosted}
+
+
+def drawn_parameters(family: str, trial: int, seed: int) -> dict[str, float]:
+    """What trial number ``trial`` of a family tries; a family has ranges of its own."""
+    rng = np.random.default_rng([seed, trial, *family.encode()])
+    out: dict[str, float] = {}
+    for name, (kind, low, high) in SPACES[family].items():
+        out[name] = float(np.exp(rng.uniform(np.log(low), np.log(high)))) if kind == "log" else int(rng.integers(int(low), int(high) + 1))
+    return out
+
+
+def parameter_search(data: DataFrame, folds: DataFrame, k: int, families: Sequence[str], trials: int, seed: int, done: DataFrame | None = None) -> DataFrame:
+    """Random search: ``family, trial, parameters, status, macro_recall, log_loss, error``.
+
+    Each trial is scored out of fold.  One that fails is a row with its error,
+    not the end of the search.  Trials in ``done``, a table of an earlier
+    search, aren't run again and are part of the result, so a search that was
+    cut short goes on where it stopped.
+    """
+    import json
+
+    from .metrics import log_loss
+
+    spark = data.sparkSession
+    schema = "family string, trial int, parameters string, status string, macro_recall double, log_loss double, error string"
+    known = set() if done is None else {(r["family"], r["parameters"]) for r in done.select("family", "parameters").collect()}
+    rows = []
+    for family in families:
+        for t in range(trials):
+            values = drawn_parameters(family, t, seed)
+            text = json.dumps(values, sort_keys=True)
+            if (family, text) in known:
+                continue
+            try:
+                said = out_of_fold(FAMILIES[family](**values), data, folds, k)
+                top = F.greatest("p0", "p1", "p2")
+                hit = F.when(F.col("y") == 0, F.col("p0")).when(F.col("y") == 1, F.col("p1")).otherwise(F.col("p2")) == top
+                n, losses = F.count(F.lit(1)).alias("n"), log_loss(said).alias("loss")
+                figures = said.groupBy("y").agg(F.avg(hit.cast("double")).alias("recall"), n, losses).agg(F.avg("recall"), F.sum(F.col("loss") * F.col("n")) / F.sum("n")).first()
+                rows.append((family, t, text, "done", float(figures[0]), float(figures[1]), None))
+            except Exception as e:  # a failed trial is a result
+                rows.append((family, t, text, "failed", None, None, f"{type(e).__name__}: {e}"[:500]))
+    new = spark.createDataFrame(rows, schema)
+    return new if done is None else done.select(*new.columns).unionByName(new)
+
+
 def greedy_ensemble(scores: DataFrame, models: Sequence, steps: int = 8, members: int = 4, least: float = 1e-7) -> list:
     """Forward selection with replacement by macro recall, then log loss.
 

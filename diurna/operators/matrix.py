@@ -138,3 +138,42 @@ def gaussian_scores(filled: DataFrame, smoothing: float = 1e-3) -> DataFrame:
     peak = F.greatest("l0", "l1", "l2")
     e: list[Column] = [F.coalesce(F.exp(F.col(f"l{k}") - peak), F.lit(0.0)) for k in range(3)]
     return best.select("subject", *[(x / (e[0] + e[1] + e[2])).alias(f"p{k}") for k, x in enumerate(e)])
+
+
+def keep_order(long: DataFrame, k: int | None = None) -> DataFrame:
+    """The ``k`` best usable features by ANOVA, in the order of the columns: ``place, feature, rank, f``.
+
+    Medians fill missing values for the ranking only; ties go to the earlier
+    feature.  Without ``k`` all usable features stay.
+    """
+    some = long.join(F.broadcast(usable_features(long).select("feature")), "feature", "left_semi")
+    medians = some.groupBy("feature").agg(F.coalesce(F.median("value"), F.lit(0.0)).alias("fill"))
+    ranked = anova(fill(some, medians))
+    best = ranked if k is None else ranked.filter(F.col("rank") <= k)
+    # one row for each feature
+    return best.select((F.row_number().over(Window.orderBy("feature")) - 1).alias("place"), "feature", "rank", "f")
+
+
+def missing_shares(long: DataFrame, best: int = 15) -> DataFrame:
+    """The features with the largest share of missing values, ties by feature."""
+    share = long.groupBy("feature").agg((1 - F.count("value") / F.count(F.lit(1))).alias("missing_fraction"), F.count("value").alias("present"))
+    return share.orderBy(F.desc("missing_fraction"), "feature").limit(best)
+
+
+def class_boxes(long: DataFrame) -> DataFrame:
+    """Quartiles and whiskers of each feature in each class; missing values are left out.
+
+    A whisker ends at the outermost value within 1.5 times the inter-quartile
+    range of the box; ``n_outside`` counts those beyond.
+    """
+    rows = long.filter(F.col("value").isNotNull())
+    q = rows.groupBy("feature", "y").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = q.select("feature", "y", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
+    return rows.join(q, ["feature", "y"]).groupBy("feature", "y", "q1", "median", "q3").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(inside, F.col("value"))).alias("low"),
+        F.max(F.when(inside, F.col("value"))).alias("high"),
+        F.count(F.when(~inside, F.lit(1))).alias("n_outside"),
+    )
