@@ -93,3 +93,18 @@ def test_keep_order_and_boxes(spark):
     values = [1.0, 2.0, 3.0, 4.0, 100.0, None]
     box = matrix.class_boxes(spark.createDataFrame([(0, 0, 0, v) for v in values], "subject int, y int, feature int, value double")).first()
     assert (box["q1"], box["median"], box["q3"], box["low"], box["high"], box["n"], box["n_outside"]) == (2.0, 3.0, 4.0, 1.0, 4.0, 5, 1)
+
+
+def test_shapley_query_adds_up(spark):
+    from diurna.plans import search_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    data = q._vectors(spark, sf)
+    w, c = learners.discriminant_weights(data)
+    z = {r["subject"]: w @ np.array(r["features"].toArray()) + c for r in data.collect()}
+    z = {s: v - v.max() - np.log(np.exp(v - v.max()).sum()) for s, v in z.items()}
+    sums = q.shapley_values(spark, sf).groupBy("subject", "klass").agg(F.sum("contribution").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(sums) == 3 * len(z) and {r["n"] for r in sums} == {64}
+    for k in range(3):
+        base = [z[r["subject"]][k] - r["s"] for r in sums if r["klass"] == k]
+        assert np.ptp(base) < 1e-3  # the background's mean score, whoever is explained
