@@ -120,3 +120,11 @@ def normal_quantile(p: Column) -> Column:
     t = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
     tail = polynomial(_TAIL[0], t) / polynomial(_TAIL[1], t)
     return F.when((p >= 0.02425) & (p <= 1 - 0.02425), centre).when(p < 0.5, tail).otherwise(-tail)
+
+
+def digamma(n: Column) -> Column:
+    """The digamma function of a number of at least 1: its recurrence up by eight, then the asymptotic series."""
+    x = n.cast("double") + 8
+    up = sum((1 / (n.cast("double") + i) for i in range(1, 8)), 1 / n.cast("double"))
+    q = 1 / (x * x)
+    return F.ln(x) - 0.5 / x - q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q / 240))) - up

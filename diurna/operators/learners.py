@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import softmax
 from .folds import hash_int
 from .metrics import areas, curve
+from .trees import scored
 
 K = 3
 
@@ -47,6 +48,8 @@ def boosted(trees: int = 20, depth: int = 3) -> Callable:
 def class_scores(fit: Callable, train: DataFrame, test: DataFrame) -> DataFrame:
     """Fit on one table, score another: ``subject, y, p0, p1, p2``."""
     model = fit(train)
+    if hasattr(model, "proba"):
+        return scored(test, model.proba, K)
     out = model.transform(test)
     if "probability" in out.columns:
         p = vector_to_array("probability")

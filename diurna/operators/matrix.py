@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import digamma
+from .lineage import checkpointed
+from .ranking import running_totals
+
 
 def usable_features(long: DataFrame, share: float = 0.1, least: int = 2, round_up: bool = True) -> DataFrame:
     """Features with enough values and more than one of them."""
@@ -74,6 +78,78 @@ def mutual_information(filled: DataFrame, bins: int = 10) -> DataFrame:
     return cells.groupBy("feature").agg(F.sum(F.col("n") / F.col("all") * F.ln(F.col("n") * F.col("all") / (F.col("nb") * F.col("ny")))).alias("mi"))
 
 
+#: Values of a class and feature that a task searches for neighbours at once.
+NEIGHBOUR_BLOCK = 4096
+
+
+def neighbour_information(filled: DataFrame, k: int = 3) -> DataFrame:
+    """Mutual information of class and a feature by nearest neighbours: ``feature, mi``, in nats, 0 at least.
+
+    A value's radius is the distance to its ``k``-th neighbour of the same
+    class (its last one in a smaller class; classes of one row are left out).
+    It is held against the number of values of any class that lie nearer, or
+    are equal where the radius is 0.  Nulls are left out.
+
+    Different values of a class are numbered in their order and searched in
+    blocks of ``NEIGHBOUR_BLOCK``, each with the ``k`` values around it.  Values
+    within a radius are the difference of two running counts.
+    """
+    cells = filled.filter(F.col("value").isNotNull()).groupBy("feature", "y", "value").agg(F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("one"))
+    sizes = cells.groupBy("feature", "y").agg(F.sum("n").alias("size")).filter("size > 1")
+    kept = cells.join(sizes, ["feature", "y"])
+    at = F.col("cum_one") - 1
+    own = F.floor(at / NEIGHBOUR_BLOCK)
+    ranked = running_totals(kept, ["feature", "y"], "value", ["one"])
+    spread = ranked.withColumn("block", F.explode(F.sequence(F.floor((at - k) / NEIGHBOUR_BLOCK), F.floor((at + k) / NEIGHBOUR_BLOCK))))
+    spread = spread.select("feature", "y", "block", "value", "n", "size", (F.col("block") == own).alias("own"))
+    kind = filled.schema["feature"].dataType.simpleString()
+
+    def nearer(v, r, way):
+        """The first value on one side whose distance, as subtraction rounds it, is no longer below ``r``."""
+        import numpy as np
+
+        slack = 4 * np.spacing(np.maximum(np.abs(v), r))
+        inside, outside = np.where(way > 0, np.maximum(v, v + r - slack), np.minimum(v, v - r + slack)), v + way * (r + slack)
+        for _ in range(80):
+            middle = (inside + outside) / 2
+            near = np.abs(middle - v) < r
+            inside, outside = np.where(near, middle, inside), np.where(near, outside, middle)
+        return np.where(r > 0, outside, v)
+
+    def radii(key, part):
+        import numpy as np
+        import pandas as pd
+
+        part = part.sort_values("value", kind="stable")
+        v, n, size = part["value"].to_numpy(), part["n"].to_numpy(), part["size"].to_numpy()
+        near = np.arange(len(v))[:, None] + np.arange(-k, k + 1)
+        there = (near >= 0) & (near < len(v))
+        near = near.clip(0, len(v) - 1)
+        gap = np.where(there, np.abs(v[near] - v[:, None]), np.inf)
+        count = np.where(there, n[near] - (near == np.arange(len(v))[:, None]), 0)
+        order = np.argsort(gap, 1, kind="stable")
+        need = np.minimum(k, size - 1)
+        last = (np.cumsum(np.take_along_axis(count, order, 1), 1) < need[:, None]).sum(1)
+        r = np.take_along_axis(gap, order, 1)[np.arange(len(v)), np.minimum(last, 2 * k)]
+        low, high = nearer(v, r, -1.0), nearer(v, r, 1.0)
+        out = pd.DataFrame({"feature": part["feature"].to_numpy(), "n": n, "size": size, "k": need, "r": r, "low": low, "high": high})
+        return out[part["own"].to_numpy()]
+
+    rows = checkpointed(spread.groupBy("feature", "y", "block").applyInPandas(radii, f"feature {kind}, n long, size long, k long, r double, low double, high double"))
+    places = kept.select("feature", F.col("value").alias("at"), "n")
+    for bound in ("low", "high"):
+        places = places.unionByName(rows.select("feature", F.col(bound).alias("at"), F.lit(0).cast("long").alias("n")))
+    counted = checkpointed(running_totals(places.groupBy("feature", "at").agg(F.sum("n").alias("n")), ["feature"], "at", ["n"]))
+    upto, below = F.col("cum_n"), F.col("cum_n") - F.col("n")
+    lower = counted.select("feature", F.col("at").alias("low"), upto.alias("upto_low"), below.alias("below_low"))
+    upper = counted.select("feature", F.col("at").alias("high"), upto.alias("upto_high"), below.alias("below_high"))
+    inside = F.when(F.col("r") > 0, F.col("below_high") - F.col("upto_low")).otherwise(F.col("upto_high") - F.col("below_low"))
+    held = rows.join(lower, ["feature", "low"]).join(upper, ["feature", "high"]).withColumn("m", inside)
+    mean = lambda c: F.sum(F.col("n") * digamma(c)) / F.sum("n")
+    raw = digamma(F.sum("n")) + mean(F.col("k")) - mean(F.col("size")) - mean(F.col("m"))
+    return held.groupBy("feature").agg(F.greatest(F.lit(0.0), raw).alias("mi"))
+
+
 def correlations(filled: DataFrame, features: list) -> DataFrame:
     """Pearson r of all pairs of a bounded list of features, a < b."""
     some = filled.filter(F.col("feature").isin(features)).select("subject", "feature", "value")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 BUCKETS = 64
 
 
@@ -18,7 +20,8 @@ def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[
     buckets before, of which a group has ``buckets`` at most.
     """
     by = list(by)
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    # written once: approximate quantiles computed again may differ, and then totals and rows would
+    cuts = checkpointed(df.groupBy(*by).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts")))
     rows = df.join(cuts, by).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
     key = F.col(order).desc() if descending else F.col(order).asc()
     turn = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
@@ -37,7 +40,7 @@ def midpoints(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
     first of the next one that has any.  Nulls are left out; no values, no rows.
     """
     rows = df.select(F.col(value).alias("_v")).filter("_v is not null").distinct()
-    cuts = rows.agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))  # one row
+    cuts = checkpointed(rows.agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts")))  # one row, the same for all that read it
     rows = rows.join(F.broadcast(cuts)).select("_v", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0)).alias("_bucket"))
     ends = rows.groupBy("_bucket").agg(F.min("_v").alias("_first"))
     ends = ends.select("_bucket", F.lead("_first").over(Window.orderBy("_bucket")).alias("_next"), (F.row_number().over(Window.orderBy("_bucket")) == 1).alias("_lowest"))  # a row for each bucket

@@ -81,12 +81,17 @@ def reconcile_labels(tables: Sequence[DataFrame], allowed: Sequence[str]) -> Dat
     return agg.select("subject", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.raise_error(F.concat(F.lit("conflicting labels of "), F.col("subject").cast("string")))).alias("label"))
 
 
-def near_equal(scores: DataFrame, model: str, key: str, value: str, tolerance: float = 1e-8) -> DataFrame:
-    """Pairs of models whose scores differ nowhere by more than ``tolerance``: ``a, b``, a < b.
+def near_equal(scores: DataFrame, model: str, key: str, value: str, tolerance: float = 1e-8, relative: float = 0.0) -> DataFrame:
+    """Pairs of models that have the same cases and nearly the same scores: ``a, b``, a < b.
+
+    Scores are near where they differ by no more than ``tolerance`` and
+    ``relative`` times the size of the one of ``a``.  Models of unlike cases
+    differ, as do two scores of which one is null.  A case with two rows of one
+    model is an error.
 
     A case's models stand in one row, so a pair needs no join of cases; each
-    task sends one row for each pair that has not differed in its cases, and
-    pairs that no task has told apart remain.  Models lack no case.
+    task counts the cases in which a pair is near, and a pair is one whose
+    count is that of either model's cases.
     """
     wide = scores.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(model).alias("m"), F.col(value).alias("v")))).alias("all"))
     own = wide.select(F.col("all.m").alias("m"), F.col("all.v").alias("v"))
@@ -95,29 +100,37 @@ def near_equal(scores: DataFrame, model: str, key: str, value: str, tolerance: f
         import numpy as np
         import pandas as pd
 
-        names, gap = None, None
+        place: dict = {}
+        near = np.zeros((8, 8), np.int64)
         for part in batches:
             for m, v in zip(part["m"], part["v"], strict=True):
-                if names is None:
-                    names, gap = list(m), np.zeros((len(m), len(m)))
-                v = np.asarray(v, float)
-                for i in range(len(v)):  # one row of the matrix at a time
-                    np.maximum(gap[i], np.abs(v[i] - v), out=gap[i])
-        if names is not None:
-            i, j = np.nonzero(np.triu(gap <= tolerance, 1))
-            yield pd.DataFrame({"a": [names[x] for x in i] + [None], "b": [names[x] for x in j] + [None]})  # and one that counts tasks
+                at = np.array([place.setdefault(x, len(place)) for x in m])
+                if len(np.unique(at)) < len(at):
+                    raise ValueError("a case has two rows of one model")
+                if len(place) > len(near):
+                    more = np.zeros((2 * len(place), 2 * len(place)), np.int64)
+                    more[: len(near), : len(near)] = near
+                    near = more
+                v = np.array([np.nan if x is None else x for x in v], float)
+                for i in range(len(v)):  # one row of the matrix at a time; models stand in order, so the pair's first is i
+                    near[at[i], at[i]] += 1  # the diagonal counts cases
+                    near[at[i], at[i + 1 :]] += np.abs(v[i] - v[i + 1 :]) <= tolerance + relative * abs(v[i])
+        names = list(place)
+        i, j = np.nonzero(near[: len(names), : len(names)])
+        yield pd.DataFrame({"a": [names[x] for x in i], "b": [names[x] for x in j], "n": near[i, j]})
 
     kind = scores.schema[model].dataType.simpleString()
-    found = own.mapInPandas(same, f"a {kind}, b {kind}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).persist()
-    tasks = found.filter("a is null").select(F.col("n").alias("tasks"))
-    return found.filter("a is not null").join(tasks).filter("n = tasks").select("a", "b")  # one row
+    found = own.mapInPandas(same, f"a {kind}, b {kind}, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    cases = found.filter("a = b")
+    left, right = cases.select("a", F.col("n").alias("_a")), cases.select("b", F.col("n").alias("_b"))
+    return found.filter("a < b").join(left, "a").join(right, "b").filter("n = _a and n = _b").select("a", "b")
 
 
-def distinct_predictions(scores: DataFrame, model: str, key: str, value: str, order: DataFrame, tolerance: float = 1e-8) -> list:
+def distinct_predictions(scores: DataFrame, model: str, key: str, value: str, order: DataFrame, tolerance: float = 1e-8, relative: float = 0.0) -> list:
     """Models in ``order`` (a row for each) whose scores differ from every one kept before."""
     names = [r[0] for r in order.collect()]
     alike: dict = {}
-    for a, b in near_equal(scores, model, key, value, tolerance).collect():  # none but repeated models
+    for a, b in near_equal(scores, model, key, value, tolerance, relative).collect():  # none but repeated models
         alike.setdefault(a, set()).add(b)
         alike.setdefault(b, set()).add(a)
     kept: list = []

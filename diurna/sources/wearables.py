@@ -14,10 +14,10 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import clock_hours, divide, local_timestamp, number, subject_key
 from ..operators import sequences
+from .tables import read_by_name
 
 # The numeric columns of each recording, without their prefix.
 ACTIVITY_NUMBERS = (
@@ -69,14 +69,8 @@ def check_path(path: str) -> str:
 
 
 def read_recording(spark: SparkSession, path: str | Sequence[str], r: Recording) -> DataFrame:
-    """The catalog's columns as texts; a missing one is an error."""
-    paths = [check_path(p) for p in ([path] if isinstance(path, str) else path)]
-    header = spark.read.option("header", True).csv(paths)
-    missing = sorted(set(columns(r)) - set(header.columns))
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
-    return spark.read.schema(schema).option("header", True).csv(paths).select(*[F.col(f"`{c}`") for c in columns(r)])
+    """The catalog's columns as texts, by the names in each file's header; a file that lacks one is an error."""
+    return read_by_name(spark, [check_path(p) for p in ([path] if isinstance(path, str) else path)], columns(r))
 
 
 def _clean(name: str, modality: str) -> Column:
@@ -205,7 +199,7 @@ def read_labels(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     tables = []
     for p in paths:
-        raw = spark.read.option("header", True).csv(check_path(p))
+        raw = read_by_name(spark, check_path(p), ["SAMPLE_EMAIL", "DIAG_NM"])
         tables.append(raw.select(subject_key(F.col("SAMPLE_EMAIL")).alias("subject"), F.col("DIAG_NM").alias("label")))
     return reconcile_labels(tables, ["CN", "MCI", "DEM"])
 

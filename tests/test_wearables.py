@@ -1,5 +1,6 @@
 import pytest
 
+from diurna.sources import tables
 from diurna.sources import wearables as w
 
 
@@ -96,3 +97,36 @@ def test_guards(spark, tmp_path):
     with pytest.raises(Exception, match="conflicting"):
         w.read_labels(spark, [str(tmp_path / "l1.csv"), str(tmp_path / "l3.csv")]).collect()
     assert w.fingerprint(spark, [str(tmp_path / "l1.csv")], {"a": 1}) != w.fingerprint(spark, [str(tmp_path / "l1.csv")], {"a": 2})
+
+
+def test_files_are_read_by_name(spark, tmp_path):
+    r = w.RECORDINGS["sleep"]
+    names = w.columns(r)
+    turned = [*names[1:], "extra", names[0]]
+    night = sleep(1, sleep_duration=100, sleep_score=7)
+    other = sleep(3, sleep_duration=90, sleep_score=8)
+    (tmp_path / "n").mkdir()
+    write(tmp_path / "n" / "a.csv", r, [night])  # with a byte-order mark
+    lines = [",".join(turned), ",".join(str(other.get(n, "")) for n in turned)]
+    (tmp_path / "n" / "b.csv").write_text("\n".join(lines) + "\n")
+    want = [(night["EMAIL"], "100", "7"), (other["EMAIL"], "90", "8")]
+    for paths in (str(tmp_path / "n"), [str(tmp_path / "n" / "b.csv"), str(tmp_path / "n" / "a.csv")]):
+        rows = w.read_recording(spark, paths, r)
+        assert rows.columns == names and sorted((x["EMAIL"], x["sleep_duration"], x["sleep_score"]) for x in rows.collect()) == sorted(want)
+    (tmp_path / "n" / "c.csv").write_text(",".join(n for n in names if n != "sleep_rem") + "\n")
+    with pytest.raises(ValueError, match="c.csv: .'sleep_rem'"):
+        w.read_recording(spark, str(tmp_path / "n"), r)
+    refused = tables.refused_files(spark, [str(tmp_path / "n")], names).collect()
+    assert [(x["file"].rsplit("/", 1)[1], x["missing"]) for x in refused] == [("c.csv", ["sleep_rem"])]
+
+
+def test_odd_lines_are_told(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3\n4,5,6\n\n")
+    (tmp_path / "b.csv").write_text("y,x\n7,8\n")
+    got = tables.read_by_name(spark, str(tmp_path), ["x", "y"])
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "2"), ("3", None), ("4", "5"), ("8", "7")]
+    assert sorted(r["line"] for r in tables.odd_lines(spark, str(tmp_path), ["x", "y"]).collect()) == ["3", "4,5,6"]
+    (tmp_path / "c.csv").write_text("")  # nothing to read
+    assert tables.read_by_name(spark, str(tmp_path), ["x"]).count() == 4
+    with pytest.raises(ValueError, match="no lines"):
+        tables.read_by_name(spark, str(tmp_path / "c.csv"), ["x"])
