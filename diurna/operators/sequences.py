@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import divide, guarded_corr, guarded_slope, number, safe_ratio
+from ..functions.scalars import divide, guarded_slope, number, safe_ratio
 
 
 def parse_sequence(c: Column, positive_only: bool = False) -> Column:
@@ -22,62 +27,129 @@ def parse_sequence(c: Column, positive_only: bool = False) -> Column:
     return F.when(empty, none).otherwise(values)
 
 
-def positions(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
-    """One row for each position: ``keys, pos, x`` and the length ``n``."""
-    return df.select(*keys, F.size(sequence).alias("n"), F.posexplode(sequence).alias("pos", "x"))
+#: What ``continuous_stats`` says of a sequence.
+CONTINUOUS = ("mean", "std", "p10", "p90", "rmssd_adjacent", "lag1", "last_first_third", "valid_fraction", "length")
 
 
-def continuous_stats(pos: DataFrame, keys: list[str]) -> DataFrame:
-    """Moments and order statistics of values, and changes between positions."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    rows = pos.withColumn("_last", F.lag("x").over(w))
-    third = F.floor(F.col("n") / 3)
-    d = F.col("x") - F.col("_last")
-    q = F.percentile("x", F.array(F.lit(0.1), F.lit(0.9)))
-    agg = rows.groupBy(*keys).agg(
-        F.avg("x").alias("mean"),
-        F.stddev_pop("x").alias("std"),
-        q.alias("q"),
-        F.sqrt(F.avg(d * d)).alias("rmssd_adjacent"),
-        guarded_corr(F.col("_last"), F.col("x"), 4).alias("lag1"),
-        (F.avg(F.when(F.col("pos") >= F.col("n") - third, F.col("x"))) - F.avg(F.when(F.col("pos") < third, F.col("x")))).alias("last_first_third"),
-        (F.count("x") / F.count(F.lit(1))).alias("valid_fraction"),
-        F.max("n").cast("long").alias("length"),
-    )
-    return agg.select(*keys, "mean", "std", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"), "rmssd_adjacent", "lag1", "last_first_third", "valid_fraction", "length")
+def continuous_stats(df: DataFrame, sequence: str, prefix: str = "") -> DataFrame:
+    """``df`` with moments, order statistics and changes of each row's sequence (``CONTINUOUS``).
 
+    All is done within the row, a batch at a time: no position becomes a row of
+    its own and nothing is shuffled.  A null sequence counts as empty: length 0,
+    valid fraction 0, all else null.
+    """
+    return _with_stats(df, sequence, [(f"{prefix}{c}", "long" if c == "length" else "double") for c in CONTINUOUS], _continuous)
 
-def state_stats(pos: DataFrame, keys: list[str], states: list[int], minutes: int = 5) -> DataFrame:
-    """Share and longest run of each state, entropy, transition rate.
+
+def state_stats(df: DataFrame, sequence: str, states: Sequence[int], minutes: int = 5, prefix: str = "") -> DataFrame:
+    """``df`` with share and longest run of each state, entropy, transition rate, valid fraction and length.
 
     Positions without a listed state break runs and have no transitions.
+    Within the row, as ``continuous_stats``.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    rows = pos.withColumn("s", F.when(F.col("x").isin(*[float(s) for s in states]), F.col("x").cast("int")))
-    rows = rows.withColumn("_last", F.lag("s").over(w)).withColumn("_run", F.col("pos") - F.row_number().over(Window.partitionBy(*keys, "s").orderBy("pos")))
-    runs = rows.groupBy(*keys, "s", "_run").agg(
-        F.count(F.lit(1)).alias("k"),
-        F.count(F.when(F.col("_last").isNotNull() & F.col("s").isNotNull(), F.lit(1))).alias("pairs"),
-        F.count(F.when(F.col("_last") != F.col("s"), F.lit(1))).alias("moves"),
-    )
-    by = runs.groupBy(*keys, "s").agg(F.sum("k").alias("k"), F.max("k").alias("longest"), F.sum("pairs").alias("pairs"), F.sum("moves").alias("moves"))
-    valid = F.sum(F.when(F.col("s").isNotNull(), F.col("k")))
-    agg = by.groupBy(*keys).agg(
-        valid.alias("valid"),
-        F.sum("pairs").alias("pairs"),
-        F.sum("moves").alias("moves"),
-        *[F.sum(F.when(F.col("s") == s, F.col("k"))).alias(f"_k{s}") for s in states],
-        *[F.max(F.when(F.col("s") == s, F.col("longest"))).alias(f"_r{s}") for s in states],
-    )
-    share = {s: F.coalesce(F.col(f"_k{s}"), F.lit(0)) / F.col("valid") for s in states}
-    entropy = sum((F.when(share[s] > 0, -share[s] * F.ln(share[s])).otherwise(0.0) for s in states), F.lit(0.0))
-    return agg.select(
-        *keys,
-        *[share[s].alias(f"code_{s}_fraction") for s in states],
-        *[F.when(F.col("valid") > 0, F.coalesce(F.col(f"_r{s}"), F.lit(0)) * minutes).cast("long").alias(f"code_{s}_longest_minutes") for s in states],
-        F.when(F.col("valid") > 0, entropy).alias("entropy"),
-        F.when(F.col("pairs") > 0, F.col("moves") / F.col("pairs")).alias("transition_rate"),
-    )
+    states = list(states)
+    fields = [(f"code_{s}_fraction", "double") for s in states] + [(f"code_{s}_longest_minutes", "long") for s in states]
+    fields += [("entropy", "double"), ("transition_rate", "double"), ("valid_fraction", "double"), ("length", "long")]
+    return _with_stats(df, sequence, [(prefix + n, t) for n, t in fields], lambda row, pos, x, n: _states(row, pos, x, n, states, minutes))
+
+
+def _with_stats(df: DataFrame, sequence: str, fields: list[tuple[str, str]], stats) -> DataFrame:
+    """Columns by ``stats(row, position, value, lengths)``, which sees a batch's values one after another, NaN for null."""
+    new = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
+    schema = T.StructType([*df.schema.fields, *new])
+    at = df.columns.index(sequence)
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, at):
+                column = part.column(at)
+                n = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                x = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+                row = np.repeat(np.arange(len(n)), n)
+                pos = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out = stats(row, pos, x, n)
+                arrays = [pa.array(np.where(np.isfinite(v), v, 0).astype(np.int64), pa.int64(), mask=~np.isfinite(v)) if t == "long" else pa.array(v, pa.float64(), mask=~np.isfinite(v)) for v, (_, t) in zip(out, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], schema.names)
+
+    return df.select(*[F.col(f"`{c}`").cast("array<double>").alias(c) if c == sequence else F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, _with_doubles(schema, at))
+
+
+#: Values of sequences that a task looks at together.
+VALUES = 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut by rows so that its sequences have ``VALUES`` values at most; a longer one stands alone."""
+    ends = np.cumsum(batch.column(at).value_lengths().fill_null(0).to_numpy().astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + VALUES, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _with_doubles(schema: T.StructType, at: int) -> T.StructType:
+    fields = list(schema.fields)
+    fields[at] = T.StructField(fields[at].name, T.ArrayType(T.DoubleType()))
+    return T.StructType(fields)
+
+
+def _mean(row: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+    """Mean of each row's values; NaN for none."""
+    return np.bincount(row, x, rows) / np.bincount(row, minlength=rows)
+
+
+def _continuous(row: np.ndarray, pos: np.ndarray, x: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    rows = len(n)
+    some = ~np.isnan(x)
+    r, v = row[some], x[some]
+    count = np.bincount(r, minlength=rows)
+    mean = _mean(r, v, rows)
+    std = np.sqrt(_mean(r, (v - mean[r]) ** 2, rows))
+    ordered = v[np.lexsort((v, r))]
+    first = np.cumsum(count) - count
+
+    def quantile(p: float) -> np.ndarray:
+        place = (count - 1) * p
+        low = np.clip(np.floor(place).astype(np.int64), 0, None)
+        out = np.full(rows, np.nan)
+        held = count > 0
+        a = ordered[first[held] + low[held]]
+        b = ordered[first[held] + np.minimum(low[held] + 1, count[held] - 1)]
+        out[held] = a + (b - a) * (place[held] - low[held])
+        return out
+
+    pair = np.flatnonzero((row[1:] == row[:-1]) & some[1:] & some[:-1])
+    pr, a, b = row[pair], x[pair], x[pair + 1]
+    da, db = a - _mean(pr, a, rows)[pr], b - _mean(pr, b, rows)[pr]
+    va, vb, cov = (_mean(pr, d, rows) for d in (da * da, db * db, da * db))
+    spread = np.sqrt(va) * np.sqrt(vb)
+    lag = np.where((np.bincount(pr, minlength=rows) >= 4) & (spread > 0), cov / spread, np.nan)
+    third = n // 3
+    late, early = some & (pos >= (n - third)[row]), some & (pos < third[row])
+    change = _mean(row[late], x[late], rows) - _mean(row[early], x[early], rows)
+    return [mean, std, quantile(0.1), quantile(0.9), np.sqrt(_mean(pr, (b - a) ** 2, rows)), lag, change, np.where(n > 0, count / np.maximum(n, 1), 0.0), n.astype(float)]
+
+
+def _states(row: np.ndarray, pos: np.ndarray, x: np.ndarray, n: np.ndarray, states: list[int], minutes: int) -> list[np.ndarray]:
+    rows = len(n)
+    known = np.isin(x, np.array(states, float))
+    valid = np.bincount(row[known], minlength=rows).astype(float)
+    share, longest = [], []
+    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (x[1:] != x[:-1])] if len(x) else np.zeros(0, bool))
+    length = np.diff(starts, append=len(x))
+    for s in states:
+        share.append(np.where(valid > 0, np.bincount(row[x == s], minlength=rows) / valid, np.nan))
+        most = np.zeros(rows)
+        mine = x[starts] == s
+        np.maximum.at(most, row[starts][mine], length[mine])
+        longest.append(np.where(valid > 0, most * minutes, np.nan))
+    entropy = -sum(np.where(f > 0, f * np.log(np.where(f > 0, f, 1)), 0) for f in share)
+    pair = np.flatnonzero((row[1:] == row[:-1]) & known[1:] & known[:-1])
+    moves = _mean(row[pair], (x[pair] != x[pair + 1]).astype(float), rows)
+    return [*share, *longest, np.where(valid > 0, entropy, np.nan), moves, np.where(n > 0, valid / np.maximum(n, 1), 0.0), n.astype(float)]
 
 
 def cosinor(samples: DataFrame, keys: list[str], hour: str, value: str, least: int, hours: int) -> DataFrame:

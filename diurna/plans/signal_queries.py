@@ -85,11 +85,12 @@ def first_order_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of packed strings by position."""
     rows = b.packed(spark, sf_dir).select("subject", "date", sequences.parse_sequence(F.col("packed")).alias("seq"))
-    return rounded(sequences.continuous_stats(sequences.positions(rows, ["subject", "date"], "seq"), ["subject", "date"]))
+    return rounded(sequences.continuous_stats(rows.filter(F.size("seq") > 0), "seq").drop("seq"))
 
 
 def state_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sequences.state_stats(b.states(spark, sf_dir), ["subject"], [1, 2, 3, 4]))
+    out = sequences.state_stats(b.states(spark, sf_dir), "seq", [1, 2, 3, 4])
+    return rounded(out.drop("seq", "valid_fraction", "length"))
 
 
 def cosinor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,46 +112,39 @@ def subject_days(raw: DataFrame, r: Recording, zone: str = "Asia/Seoul") -> tupl
     return kept, audit.withColumn("modality", F.lit(m))
 
 
+def _sequence(kind: str) -> Column:
+    """A packed sequence as numbers: rates of 0 or less and negative METs are missing."""
+    seq = sequences.parse_sequence(F.col(f"packed_{kind}"), positive_only=kind in ("hr", "hrv"))
+    return F.transform(seq, lambda x: F.when(x >= 0, x)) if kind == "met" else seq
+
+
 def daily_metrics(days: DataFrame, r: Recording) -> DataFrame:
     """All daily metrics of a recording, wide: 61 of activity, 62 of sleep."""
     m, keys = r.modality, ["subject", "date"]
-    out = days.select(*keys, *[f"{m}__{n}" for n in r.numbers])
+    out = days.select(*keys, "start", "end", *[f"{m}__{n}" for n in r.numbers], *[_sequence(k).alias(f"_{k}") for k in r.packed])
+    # sequences are read within their row
     for kind in r.packed:
-        seq = sequences.parse_sequence(F.col(f"packed_{kind}"), positive_only=kind in ("hr", "hrv"))
-        if kind == "met":
-            seq = F.transform(seq, lambda x: F.when(x >= 0, x))
-        rows = days.select(*keys, seq.alias("seq"))
-        pos = sequences.positions(rows, keys, "seq")
-        if kind == "state":
-            stats = sequences.state_stats(pos, keys, list(r.states))
-            known = F.size(F.filter("seq", lambda x: x.isin(*[float(s) for s in r.states])))
-            extra = rows.select(*keys, F.coalesce(known / F.nullif(F.size("seq"), F.lit(0)), F.lit(0.0)).alias("valid_fraction"), F.size("seq").cast("long").alias("length"))
-        else:
-            stats = sequences.continuous_stats(pos, keys).drop("valid_fraction", "length")
-            some = F.size(F.filter("seq", lambda x: x.isNotNull()))
-            extra = rows.select(*keys, F.coalesce(some / F.nullif(F.size("seq"), F.lit(0)), F.lit(0.0)).alias("valid_fraction"), F.size("seq").cast("long").alias("length"))
-        both = extra.join(stats, keys, "left")
-        out = out.join(both.select(*keys, *[F.col(c).alias(f"{m}__{kind}_{c}") for c in both.columns if c not in keys]), keys)
+        stats = partial(sequences.state_stats, states=list(r.states)) if kind == "state" else sequences.continuous_stats
+        out = stats(out, f"_{kind}", prefix=f"{m}__{kind}_").drop(f"_{kind}")
     derived: dict[str, Column] = {}
     if m == "activity":
         out = out.join(_clock_metrics(days), keys, "left")
         minutes = (F.unix_timestamp("end") - F.unix_timestamp("start")) / 60.0
         wear = F.when((F.abs(minutes - 1440) < 1) & F.col("activity__non_wear").between(0, 1440), 1440 - F.col("activity__non_wear"))
-        times = days.select(*keys, minutes.alias("activity__interval_minutes"), wear.alias("_wear"))
-        out = out.join(times, keys)
+        out = out.withColumns({"activity__interval_minutes": minutes, "_wear": wear})
         derived = {
             "steps_per_wear_hour": divide(F.col("activity__steps"), F.col("_wear") / 60),
             "moderate_high_fraction": divide(F.col("activity__medium") + F.col("activity__high"), F.col("_wear")),
             "inactive_fraction": divide(F.col("activity__inactive"), F.col("_wear")),
         }
     else:
-        out = out.join(days.select(*keys, *[clock_hours(F.col(t)).alias(f"_{n}") for t, n in (("start", "bedtime"), ("end", "wake"))]), keys)
+        out = out.withColumns({f"_{n}": clock_hours(F.col(t)) for t, n in (("start", "bedtime"), ("end", "wake"))})
         derived = {f"{n}_fraction": divide(F.col(f"sleep__{n}"), F.col("sleep__total")) for n in ("deep", "light", "rem")}
         derived |= {"awake_fraction": divide(F.col("sleep__awake"), F.col("sleep__duration")), "latency_fraction": divide(F.col("sleep__onset_latency"), F.col("sleep__duration"))}
         for n in ("bedtime", "wake"):
             derived |= {f"{n}_sin": F.sin(2 * F.pi() * F.col(f"_{n}") / 24), f"{n}_cos": F.cos(2 * F.pi() * F.col(f"_{n}") / 24)}
     out = out.withColumns({f"{m}__{k}": v for k, v in derived.items()})
-    return out.drop("_wear", "_bedtime", "_wake")
+    return out.drop("start", "end", "_wear", "_bedtime", "_wake")
 
 
 def _met_samples(days: DataFrame) -> DataFrame:
