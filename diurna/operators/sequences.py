@@ -55,9 +55,11 @@ def state_stats(df: DataFrame, sequence: str, states: Sequence[int], minutes: in
 
 def _with_stats(df: DataFrame, sequence: str, fields: list[tuple[str, str]], stats) -> DataFrame:
     """Columns by ``stats(row, position, value, lengths)``, which sees a batch's values one after another, NaN for null."""
-    new = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
-    schema = T.StructType([*df.schema.fields, *new])
+    # columns go by position: names may hold dots
     at = df.columns.index(sequence)
+    source = df.select(*[(F.col(f"`{c}`").cast("array<double>") if i == at else F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    new = [T.StructField(f"_new{i}", T.LongType() if t == "long" else T.DoubleType()) for i, (_, t) in enumerate(fields)]
+    schema = T.StructType([*source.schema.fields, *new])
 
     def run(batches):
         for batch in batches:
@@ -72,7 +74,7 @@ def _with_stats(df: DataFrame, sequence: str, fields: list[tuple[str, str]], sta
                 arrays = [pa.array(np.where(np.isfinite(v), v, 0).astype(np.int64), pa.int64(), mask=~np.isfinite(v)) if t == "long" else pa.array(v, pa.float64(), mask=~np.isfinite(v)) for v, (_, t) in zip(out, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], schema.names)
 
-    return df.select(*[F.col(f"`{c}`").cast("array<double>").alias(c) if c == sequence else F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, _with_doubles(schema, at))
+    return source.mapInArrow(run, schema).toDF(*df.columns, *[n for n, _ in fields])
 
 
 #: Values of sequences that a task looks at together.
@@ -90,12 +92,6 @@ def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         first = last
 
 
-def _with_doubles(schema: T.StructType, at: int) -> T.StructType:
-    fields = list(schema.fields)
-    fields[at] = T.StructField(fields[at].name, T.ArrayType(T.DoubleType()))
-    return T.StructType(fields)
-
-
 def _mean(row: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
     """Mean of each row's values; NaN for none."""
     return np.bincount(row, x, rows) / np.bincount(row, minlength=rows)
