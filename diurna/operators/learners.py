@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import softmax
 from .folds import hash_int
 from .metrics import areas, curve
+from .search import FAILURES
 from .trees import scored
 
 K = 3
@@ -423,7 +424,7 @@ def parameter_search(data: DataFrame, folds: DataFrame, k: int, families: Sequen
                 n, losses = F.count(F.lit(1)).alias("n"), log_loss(said).alias("loss")
                 figures = said.groupBy("y").agg(F.avg(hit.cast("double")).alias("recall"), n, losses).agg(F.avg("recall"), F.sum(F.col("loss") * F.col("n")) / F.sum("n")).first()
                 rows.append((family, t, text, "done", float(figures[0]), float(figures[1]), None))
-            except Exception as e:  # a failed trial is a result
+            except FAILURES as e:  # such a trial is a result; any other error ends the search
                 rows.append((family, t, text, "failed", None, None, f"{type(e).__name__}: {e}"[:500]))
     new = spark.createDataFrame(rows, schema)
     return new if done is None else done.select(*new.columns).unionByName(new)
