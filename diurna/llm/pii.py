@@ -92,7 +92,8 @@ _VOWELS = "aeiouyаеиоуыэюяαεηιουω"
 _SOUNDS = []
 #: Letters of names: vowels for vowels, others for others, so results read as names.
 for _letters in _ALPHABETS[1:]:
-    _SOUNDS += ["".join(c for c in _letters if c.lower() in _VOWELS), "".join(c for c in _letters if c.lower() not in _VOWELS)]
+    _marked = [unicodedata.normalize("NFD", c)[0].lower() in _VOWELS + "æø" for c in _letters]
+    _SOUNDS += ["".join(c for c, m in zip(_letters, _marked, strict=True) if m == vowel) for vowel in (True, False)]
 _PLACE = {c: letters for letters in _ALPHABETS for c in letters}
 _SOUND_PLACE = {c: letters for letters in _SOUNDS for c in letters}
 _CJK = "".join(map(chr, range(0x4E00, 0x9FA6)))
@@ -197,8 +198,12 @@ def _phone(text: str, key: bytes) -> str:
     m = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+1|\+[0-9][0-9]", text)
     head = m.group() if m else ""
     rest = text[len(head) :]
-    d = _digits(rest)
-    return head + _put(rest, _in_format(d, key, "phone"))
+    first = d = _digits(rest)
+    # a national number's 0 stays, and no other gets one: walk on
+    while True:
+        d = _in_format(d, key, "phone")
+        if (d[0] == "0") == (first[0] == "0"):
+            return head + _put(rest, d)
 
 
 def _ip(text: str, key: bytes) -> str:
@@ -334,44 +339,118 @@ def canonical(kind: str, text: str) -> str:
 
 _NAME = r"[^\W\d_a-zа-яα-ωß-ÿ][^\W\d_]*(?:[-'’][^\W\d_]+)?"
 _titles = "|".join(sorted(_TITLE_GENDER, key=len, reverse=True))
+_NAME = rf"(?!(?:{_titles})(?!\w)){_NAME}"  # a title begins another name
 _given = "|".join(sorted(_GENDER, key=len, reverse=True))
 
-#: (type, what a text must contain, pattern, group), the first claim on a place wins.
-_RULES = [
-    ("secret", "=:", re.compile(r"(?i)(?:key|token|secret|password|passwd|pwd|auth\w*+|bearer|credential\w*+)[\"']?\s*[:=]\s*[\"']?([\w+/=.~-]{8,})"), 1),
-    ("secret", "0123456789", re.compile(r"(?<![\w])(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{30,}|sk-[\w-]{20,}|xox[abp]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]+)(?![\w])"), 0),
-    ("secret", "0123456789", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"), 0),
-    ("email", "@", re.compile(r"(?<![\w.+'-])[_.+'-]*+([^\W_][\w.+'-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+)"), 1),
-    ("iban", "0123456789", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0),
-    ("ip", ".", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"), 0),
-    ("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0),
-    ("card", "0123456789", re.compile(r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), 0),
-    ("phone", "+", re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5}){1,5}(?![0-9])"), 0),
-    ("phone", "0123456789", re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"), 0),
-    ("person", "".join({t[0] for t in _TITLE_GENDER}), re.compile(rf"(?<!\w)(?:{_titles})\.?[ \t]+{_NAME}(?:[ \t]+{_NAME}){{0,2}}"), 0),
-    ("person", "", re.compile(rf"(?<!\w)(?:{_given})(?:[ \t]+{_NAME}){{1,2}}"), 0),
-]
+# Words before a secret; those of pass phrases; words before a person's name.
+_SECRET_WORDS = r"(?:api|access|secret|private|session)[_-]?key|(?:auth|access|refresh)[_-]?token|client[_-]?secret|key|token|secret|auth|authorization|bearer|credentials?"
+_PASS_WORDS = r"password|passwd|passphrase|passwort|contraseña|pwd"
+_NAME_CUES = (
+    r"[Mm]y name is|[Nn]ame is|[Nn]ame:|[Cc]ontact:?|[Aa]ttn[.:]?|[Ss]igned,?|[Ss]incerely,|[Rr]egards,|[Yy]ours,|[Ii]ch heiße|"
+    r"[Nn]ame ist|[Aa]nsprechpartner(?:in)?:?|[Jj]e m['’]appelle|[Nn]om:|[Mm]e llamo|[Nn]ombre:|[Mm]i nombre es"
+)
+
+
+def _secret_value(m: re.Match) -> bool:
+    """Whether what follows a word for secrets is one: it holds letters and digits, or is quoted, or a pass phrase is set."""
+    value = m.group(m.lastindex)
+    mixed = re.search("[0-9]", value) is not None and re.search("[^\\W\\d_]", value) is not None
+    quoted = m.string[m.start(m.lastindex) - 1] in "\"'"
+    if re.match(_PASS_WORDS, m.group(), re.IGNORECASE):
+        return mixed or quoted or m.group("sign") == "="
+    return mixed or (quoted and len(value) >= 16 and " " not in value)
 
 
 def _valid(kind: str, text: str) -> bool:
-    if kind == "iban":
-        plain = text.replace(" ", "")
-        return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
-    return True
+    """Whether an account number has the right check digits; other types have none of that kind."""
+    plain = text.replace(" ", "")
+    return kind != "iban" or (15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1)
+
+
+def _card_holds(m: re.Match) -> bool:
+    """A number that banks issue, with the right check digit."""
+    d = _digits(m.group())
+    return (d[0] in "3456" or 2221 <= int(d[:4]) <= 2720) and _luhn(d[:-1]) == int(d[-1])
+
+
+def _national(m: re.Match) -> bool:
+    return 9 <= len(_digits(m.group())) <= 12
+
+
+#: (type, what a text must contain, pattern, check), the first claim on a place wins.  A pattern's last group is the entity.
+_RULES = [
+    ("secret", "=:", re.compile(rf"(?i)(?<![^\W_])(?:{_SECRET_WORDS}|{_PASS_WORDS})[\"']?\s*(?P<sign>[:=])\s*(?:\"([^\"\n]{{4,}})\"|'([^'\n]{{4,}})'|([\w+/=.~-]{{8,}}))"), _secret_value),
+    ("secret", "0123456789", re.compile(r"(?<![\w])(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{30,}|sk-[\w-]{20,}|xox[abp]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]+)(?![\w])"), None),
+    ("secret", "0123456789", re.compile(r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,}(?![0-9A-Za-z])"), None),
+    ("email", "@", re.compile(r"(?<![\w.+'-])[_.+'-]*+([^\W_][\w.+'-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+)"), None),
+    ("iban", "0123456789", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), lambda m: _valid("iban", m.group())),
+    ("ip", ".", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"), None),
+    ("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), None),
+    ("card", "0123456789", re.compile(r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), _card_holds),
+    ("phone", "+", re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5}){1,5}(?![0-9])"), None),
+    ("phone", "0123456789", re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"), None),
+    ("phone", "0123456789", re.compile(r"(?<![\w+./-])0[0-9]{2,4}[ /-][0-9]{3,8}(?:[ -][0-9]{2,5})?(?![\w]|[.,/-][0-9])"), _national),
+    ("person", "".join({t[0] for t in _TITLE_GENDER}), re.compile(rf"(?<!\w)(?:{_titles})\.?[ \t]+{_NAME}(?:[ \t]+{_NAME}){{0,2}}"), None),
+    ("person", "", re.compile(rf"(?<!\w)(?:{_given})(?:[ \t]+{_NAME}){{1,2}}"), None),
+    ("person", "", re.compile(rf"(?<!\w)(?:{_NAME_CUES})[ \t]+({_NAME}(?:[ \t]+{_NAME}){{1,2}})"), None),
+]
+_NAMES_IN_A_ROW = re.compile(rf"(?<!\w){_NAME}(?:[ \t]+{_NAME})+")
+_NAME_WORD = re.compile(r"[^ \t]+")
+
+
+def _claim(found: list[tuple[int, int, str]], new: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Both lists in order, without those of ``new`` that lie on one of ``found``, or on an earlier one of ``new``."""
+    if not new:
+        return found
+    out: list[tuple[int, int, str]] = []
+    i = last = 0
+    for span in new:
+        if span[0] < last:
+            continue
+        while i < len(found) and found[i][1] <= span[0]:
+            out.append(found[i])
+            i += 1
+        if i == len(found) or found[i][0] >= span[1]:
+            out.append(span)
+            last = span[1]
+    return [*out, *found[i:]]
+
+
+def _told_again(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Where names of two words or more that are known from elsewhere in the text stand by themselves."""
+    known = {tuple(words) for a, b, k in found if k == "person" if len(words := canonical("person", text[a:b]).split()) > 1}
+    out: list[tuple[int, int, str]] = []
+    if known:
+        longest = max(map(len, known))
+        for row in _NAMES_IN_A_ROW.finditer(text):
+            words = [(m.start(), m.end(), m.group()) for m in _NAME_WORD.finditer(text, *row.span())]
+            for i in range(len(words) - 1):
+                n = next((n for n in range(min(longest, len(words) - i), 1, -1) if tuple(w[2] for w in words[i : i + n]) in known), 0)
+                if n:
+                    out.append((words[i][0], words[i + n - 1][1], "person"))
+    return out
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of all entities of a text, in order, without overlap."""
+    """(start, end, type) of all entities of a text, in order, without overlap.
+
+    Secrets follow a word for them and hold letters and digits, or are quoted;
+    cards and accounts have the right check digits; persons follow a title, a
+    listed given name or words that announce a name, and are then found
+    wherever their whole name stands.  Time is linear in the text and in what
+    is found.
+    """
     digits = re.search("[0-9]", text) is not None
     found: list[tuple[int, int, str]] = []
-    for kind, needs, pattern, group in _RULES:
+    for kind, needs, pattern, check in _RULES:
         if needs and not (digits if needs[0] == "0" else any(c in text for c in needs)):
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span(group)
-            if _valid(kind, text[a:b]) and not any(a < y and x < b for x, y, _ in found):
-                found.append((a, b, kind))
-    return sorted(found)
+        found = _claim(found, [(*m.span(_entity_group(m)), kind) for m in pattern.finditer(text) if check is None or check(m)])
+    return _claim(found, _told_again(text, found))
+
+
+def _entity_group(m: re.Match) -> int:
+    return m.lastindex or 0
 
 
 def replace_entities(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str, int]]]:
