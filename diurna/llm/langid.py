@@ -5,9 +5,9 @@ name all languages that (appear to) contain it, in one look-up for all of them.
 A text's languages are counted over its n-grams; a language's count is
 corrected for its filter's share of false positives; the largest count wins.
 
-A language contains an n-gram if the n-gram makes up at least ``MIN_SHARE`` of
-its training n-grams.  Shares sum to 1, so a language has at most
-``1 / MIN_SHARE`` n-grams, which bounds what is gathered and broadcast.
+A language contains every n-gram of its training texts, of which there are
+about ``TRAIN_DOCS``: that, not the corpus, bounds what is gathered and
+broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from .scratch import arrow_batches
 from .textbatch import chunks, mix64, text_bytes, with_columns
 
 N = 4  # bytes of an n-gram; white space and the like only at its ends
-MIN_SHARE = 2e-5
+#: Least share of a language's n-grams that one must have to count as contained: every one does.
+MIN_SHARE = 0.0
 #: About so many training documents of each language, chosen by hash of the key.
 TRAIN_DOCS = 20_000
 #: Slots of a filter for each n-gram of the largest language, at least.
@@ -82,7 +83,7 @@ def _smallest_type(languages: int):
     return next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(languages, 64) <= n)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> Filter:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS, least_share: float = MIN_SHARE) -> Filter:
     """Learn the filter from rows with a language; null languages are left out.
 
     No rows to learn from give a filter without languages, to which every text
@@ -120,10 +121,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(n)], ["l", "g", "n"])
 
     grams = sample.mapInArrow(count, "l long, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    grams = grams.cache()  # partial counts are recomputed if an executor is lost
-    sums = grams.groupBy("l").agg(F.sum("n").alias("all"))
-    kept = grams.join(F.broadcast(sums), "l").filter(F.col("n") >= F.lit(MIN_SHARE) * F.col("all")).groupBy("g").agg(F.collect_set("l").alias("ls")).toArrow()
-    grams.unpersist()
+    if least_share > 0:
+        grams = grams.join(F.broadcast(grams.groupBy("l").agg(F.sum("n").alias("all"))), "l").filter(F.col("n") >= F.lit(least_share) * F.col("all"))
+    kept = grams.groupBy("g").agg(F.collect_set("l").alias("ls")).toArrow()
     g = kept["g"].to_numpy().astype(np.uint32)
     lists = kept["ls"].combine_chunks()
     owner = np.repeat(np.arange(len(g)), np.diff(lists.offsets.to_numpy())) if len(g) else np.zeros(0, np.int64)
