@@ -338,7 +338,12 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Dat
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document: counts, a digest of the items, the verdict."""
+    """One row for each document: counts, a digest of the items, the verdict.
+
+    Repeated documents have a row each.  Null and empty texts have no words and
+    aren't contaminated; null and empty items occur nowhere, nor does anything
+    in an empty benchmark.
+    """
     found = find_matches(docs, benchmark, keep=["doc_id"])
     return found.select(
         "doc_id",

@@ -204,7 +204,12 @@ def held_out(key: str = "doc_id"):
 
 
 def predict(docs: DataFrame) -> DataFrame:
-    """Train on the rows not held out and predict all."""
+    """Train on the rows not held out and predict all.
+
+    Returns ``doc_id, held_out, lang_pred, score``, a row for each document,
+    repeats included.  Null languages teach nothing; a null key isn't held out;
+    null texts and texts without a letter are ``und`` with score 0.
+    """
     model = train(docs.filter(~held_out()))
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     out = identify(rows, model, keep=["doc_id", "held_out"])

@@ -526,6 +526,11 @@ def held_out(key: str = "doc_id"):
 
 
 def score_held_out(docs: DataFrame, **options) -> DataFrame:
-    """Train on the rows not held out and score all."""
+    """Train on the rows not held out and score all.
+
+    A row for each document, repeats included.  Null texts count as empty: they
+    have one token, the end.  A null key isn't held out.  Without training rows
+    no token is known.
+    """
     model, counts = train(docs.filter(~held_out()).select("text"), **options)
     return score(docs.select("doc_id", held_out().alias("held_out"), "text"), model, counts, keep=["doc_id", "held_out"])

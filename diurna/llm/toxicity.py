@@ -265,7 +265,14 @@ def held_out(key: str = "doc_id"):
 
 
 def predict(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Train on labelled rows not held out and score all documents."""
+    """Train on labelled rows not held out and score all documents.
+
+    Returns ``doc_id, held_out, score, predicted``, a row for each document,
+    repeats included.  A label is set if any row of its key sets it; null
+    labels are left out, and a null key has no label and isn't held out.  Null
+    and empty texts are scored by their zero features; without labels of both
+    classes every score is the share of toxic ones.
+    """
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = docs.select("doc_id", "text").filter(~held_out()).join(known, "doc_id")
     model = train(labelled)
