@@ -1,8 +1,9 @@
 """Classifiers, resampling and explanations on ``subject, y, features`` tables.
 
-Multi-class boosting and RBF kernels have no counterpart in Spark's library:
-boosting goes one class against the rest, kernels through random Fourier
-features.  Everything learned is a few vectors; rows stay on the cluster.
+Models of Spark's own library, and some that need no more than sums: here
+boosting goes one class against the rest and kernels through random Fourier
+features; ``trees`` and ``kernels`` have the whole ones.  Everything learned is
+a few vectors; rows stay on the cluster.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import softmax
 from .folds import hash_int
+from .lineage import checkpointed
 from .metrics import areas, curve
 from .search import FAILURES
 from .trees import scored
@@ -26,7 +28,11 @@ K = 3
 
 
 def vectors(long: DataFrame, features: Sequence) -> DataFrame:
-    """Long form to one vector for each subject; features in the given order."""
+    """Long form to one vector for each subject; features in the given order.
+
+    A missing value becomes 0, the centre of scaled features; models that take
+    missing values are in ``trees``.
+    """
     wide = long.groupBy("subject", "y").pivot("feature", list(features)).agg(F.first("value"))
     array = F.array(*[F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) for f in features])
     return wide.select("subject", "y", array_to_vector(array).alias("features"))
@@ -282,9 +288,12 @@ def permutation_importance(
         key = [F.struct("subject.feature", "subject.repeat", F.lit(k).alias("k")) for k in range(K)]
         parts = F.array(*[F.struct(key[k].alias("class"), F.col(f"p{k}").alias("score"), (F.col("y") == k).cast("long").alias("hit")) for k in range(K)])
         cases = scored(rows).select(F.explode(parts).alias("x")).select("x.*").persist()
-        return areas(curve(cases)).groupBy("class.feature", "class.repeat").agg(F.avg("auc").alias("auc"))
+        out = checkpointed(areas(curve(cases)).groupBy("class.feature", "class.repeat").agg(F.avg("auc").alias("auc")))  # a row for each feature and repeat
+        cases.unpersist()
+        return out
 
-    data = vectors(long, features).select("subject", "y", vector_to_array("features").alias("x")).persist()
+    data = vectors(long, features).select("subject", "y", vector_to_array("features").alias("x"))
+    data = checkpointed(data)
     turns = data.select("subject", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     a = hash_rank(turns.withColumn("_d", digest(F.lit(seed), F.col("repeat"), F.col("subject"))), ["repeat"], "_d").select("repeat", "rank", "subject")
     c = hash_rank(turns.withColumn("_d", digest(F.lit(seed + 1), F.col("repeat"), F.col("subject"))), ["repeat"], "_d").select("repeat", "rank", F.col("subject").alias("donor"))

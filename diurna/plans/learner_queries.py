@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, folds, learners, matrix
+from ..operators.lineage import checkpointed
 from . import bindings as b
 from .model_queries import _MATRIX, _STATS, SEED
 from .signal_queries import _r, rounded
@@ -41,7 +42,7 @@ def discriminant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kernel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every subject's scores by a machine of the other four folds."""
-    data = _vectors(spark, sf_dir).cache()
+    data = checkpointed(_vectors(spark, sf_dir))
     parts = [learners.kernel_machine(data.filter(f"pmod(subject, 5) <> {f}"))(data.filter(f"pmod(subject, 5) = {f}")) for f in range(5)]
     return rounded(reduce(DataFrame.unionByName, parts))
 
@@ -70,14 +71,14 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def permuted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC lost by each feature in each of 50 permutations."""
-    long = _scaled(spark, sf_dir).cache()
+    long = checkpointed(_scaled(spark, sf_dir))
     score = learners.discriminant(learners.vectors(long, FEATURES))
     return rounded(learners.permutation_importance(score, long, FEATURES, 50, SEED))
 
 
 def permuted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC lost by four groups of features in 50 permutations each, summed up."""
-    long = _scaled(spark, sf_dir).cache()
+    long = checkpointed(_scaled(spark, sf_dir))
     score = learners.discriminant(learners.vectors(long, FEATURES))
     groups = {f"group_{g}": FEATURES[16 * g : 16 * g + 16] for g in range(4)}
     drops = learners.permutation_importance(score, long, FEATURES, 50, SEED, groups)

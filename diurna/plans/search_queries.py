@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folds, learners, matrix, policy
+from ..operators.lineage import checkpointed
 from . import bindings as b
 from .learner_queries import _vectors
 from .model_queries import _FIG, _MATRIX, _SCORES, SEED, _counts, _hash48, _scores
+from .model_queries import ORACLE_SQL as _MODEL_SQL
 from .signal_queries import _r, rounded
 
 VOTES = 1200
+RECIPES = 2500
 
 
 def keep_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +39,11 @@ def vote_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.vote_search(_scores(spark, sf_dir), members, VOTES, SEED))
 
 
+def recipe_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best of 2,500 random recipes."""
+    return rounded(policy.recipe_search(_scores(spark, sf_dir), RECIPES, SEED))
+
+
 def shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each feature adds to each subject's log scores by linear discriminants."""
     data = _vectors(spark, sf_dir)
@@ -51,11 +59,11 @@ def shapley_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two trials of each of two families on three folds."""
-    data = _vectors(spark, sf_dir).cache()
+    data = checkpointed(_vectors(spark, sf_dir))
     return rounded(learners.parameter_search(data, folds.stratified_folds(data, 3, SEED), 3, ["logistic", "forest"], 2, SEED))
 
 
-QUERIES = {f.__name__: f for f in (keep_order, missing_shares, class_boxes, vote_search, shapley_values, parameter_search)}
+QUERIES = {f.__name__: f for f in (keep_order, missing_shares, class_boxes, vote_search, recipe_search_whole, shapley_values, parameter_search)}
 
 _N = 5
 _UNIT = lambda *what: f"(({_hash48(f"'{SEED}:' || i || '" + ''.join(f':{x}' for x in what) + "'")} + 1) / 281474976710656.0::DOUBLE)"
@@ -95,3 +103,4 @@ r AS (SELECT i, by_class, auc, {_FIG["macro_recall"]} AS macro_recall, {_FIG["ma
 o AS (SELECT *, CASE WHEN auc >= 0.8 AND macro_recall >= 0.8 THEN 1 ELSE 0 END + least(auc, macro_recall) + 0.02 * (auc + macro_recall) / 2 + 0.001 * macro_f1 AS objective FROM r)
 SELECT i, by_class, {', '.join(_r(z, z) for z in ('auc', 'macro_recall', 'macro_f1', 'objective'))} FROM o ORDER BY round(objective, 9) DESC, i LIMIT 20""",
 }
+ORACLE_SQL["recipe_search_whole"] = _MODEL_SQL["recipe_search"].replace("range(200)", f"range({RECIPES})")
