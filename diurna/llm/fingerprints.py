@@ -7,10 +7,12 @@ order, form one slot of the signature.  Two texts agree in a slot only if they
 share the selected k-mers *in the same order*, which is what edit distance, as
 opposed to Jaccard similarity, is about.
 
-The ``m`` hash functions are ``h(x) xor c_j`` with constants ``c_j`` spread
-over the hash range.  Each is a bijection of uniform hashes, hence min-wise
-uniform.  The elements are sorted once: a function needs only those that share
-its constant's top bits, a slice, unless they are fewer than ``l``.
+Function ``j`` ranks the elements of its own part of the hash range, told by
+their top bits, before all others; within the part by the element, the others
+by a hash seeded with ``j``.  So every function is an order of its own of all
+elements, min-wise uniform, whatever the text's length, and the functions of a
+short text don't lean on each other.  The elements are sorted once: where a part
+holds ``l`` elements, a function's are a slice of them.
 """
 
 from __future__ import annotations
@@ -23,13 +25,12 @@ TOKEN_CHARS = 12
 K = 3  # tokens of a k-mer
 L = 2  # elements selected by a hash function
 M = 32  # hash functions
-PARTS = 32  # a power of two
 #: Low bits of an element that hold its place; places beyond wrap around.
 PLACE_BITS = 24
 
 _PLACE = (1 << PLACE_BITS) - 1
 _HASH = ((1 << 63) - 1) ^ _PLACE  # the sign bit stays 0, so orders agree
-_PART_SHIFT = 63 - (PARTS.bit_length() - 1)
+_FIRST = -(1 << 63)  # the sign bit, which sorts before all without it
 
 
 def _let(value: Column, body) -> Column:
@@ -37,15 +38,9 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _constants(m: int) -> list[int]:
-    """``m`` constants, spread evenly over the parts; random bits below."""
-    out = []
-    for j in range(m):
-        z = (j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-        z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
-        part = j * PARTS // m if m > PARTS else j * (PARTS // m)
-        out.append((part << _PART_SHIFT | z >> 6 & ((1 << _PART_SHIFT) - 1)) & _HASH)
-    return out
+def _part_shift(m: int) -> int:
+    """Bits below those that tell an element's part: there are at least ``m`` parts."""
+    return 63 - max(1, (m - 1).bit_length())
 
 
 def order_minhash(text: Column, m: int = M, k: int = K, l: int = L) -> Column:  # noqa: E741
@@ -97,15 +92,16 @@ def order_minhash(text: Column, m: int = M, k: int = K, l: int = L) -> Column:
 
     def slots(e: Column) -> Column:
         """e: sorted elements, so the parts by top bits are slices."""
-        parts = F.transform(e, lambda x: F.shiftright(x, _PART_SHIFT).cast("int"))
+        shift = _part_shift(m)
+        parts = F.transform(e, lambda x: F.shiftright(x, shift).cast("int"))
 
         def pick(present: Column, begins: Column) -> Column:
             picked = []
-            for c in _constants(m):
-                p = F.array_position(present, F.lit(c >> _PART_SHIFT)).cast("int")
+            for j in range(m):
+                p = F.array_position(present, F.lit(j)).cast("int")
                 at, to = F.get(begins, p - 1), F.coalesce(F.get(begins, p), F.size(e) + 1)
-                own = F.when((p > 0) & (to - at >= l), F.slice(e, at, to - at)).otherwise(e)
-                picked.append(_slot(own, c, l))
+                ranked = F.slice(F.sort_array(F.transform(e, _ranking(j, shift))), 1, l)
+                picked.append(_slot(F.when((p > 0) & (to - at >= l), F.slice(e, at, l)).otherwise(ranked), l))
             return F.array(*picked)
 
         return _let(
@@ -129,15 +125,24 @@ def _numbered(packed: Column, occurrence: Column) -> Column:
     return h.bitwiseAND(F.lit(_HASH)).bitwiseOR(packed.bitwiseAND(F.lit(_PLACE)))
 
 
-def _slot(part: Column, constant: int, l: int) -> Column:  # noqa: E741
-    """Hash of the ``l`` elements of the smallest ``h xor c``, in text order."""
-    flipped = F.transform(part, lambda x: x.bitwiseXOR(F.lit(constant)))
-    chosen = F.slice(F.sort_array(flipped), 1, l)
+def _ranking(j: int, shift: int):
+    """An element as function ``j`` ranks it: its own part first, the others mixed."""
+
+    def ranked(x: Column) -> Column:
+        mixed = F.xxhash64(x.bitwiseAND(F.lit(_HASH)), F.lit(j)).bitwiseAND(F.lit(_HASH)).bitwiseOR(x.bitwiseAND(F.lit(_PLACE)))
+        return F.when(F.shiftright(x, shift) == j, x.bitwiseOR(F.lit(_FIRST))).otherwise(mixed)
+
+    return ranked
+
+
+def _slot(chosen: Column, l: int) -> Column:  # noqa: E741
+    """Hash of the chosen elements, in text order."""
+    bits = F.lit((1 << (63 - PLACE_BITS)) - 1)
     if l == 2:  # a sort of two is one comparison
 
         def pair(x: Column) -> Column:
             a, b = F.get(x, 0), F.get(x, 1)
-            ha, hb = F.shiftright(a, PLACE_BITS), F.shiftright(b, PLACE_BITS)
+            ha, hb = F.shiftright(a, PLACE_BITS).bitwiseAND(bits), F.shiftright(b, PLACE_BITS).bitwiseAND(bits)
             forward = F.coalesce(a.bitwiseAND(F.lit(_PLACE)) <= b.bitwiseAND(F.lit(_PLACE)), F.lit(True))
             return F.when(forward, F.xxhash64(ha, hb)).otherwise(F.xxhash64(hb, ha))
 
@@ -146,9 +151,9 @@ def _slot(part: Column, constant: int, l: int) -> Column:  # noqa: E741
     # place first, so that sorting restores the order in the text
     placed = F.transform(
         chosen,
-        lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 63 - PLACE_BITS).bitwiseOR(F.shiftright(x, PLACE_BITS)),
+        lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)), 63 - PLACE_BITS).bitwiseOR(F.shiftright(x, PLACE_BITS).bitwiseAND(bits)),
     )
-    return F.xxhash64(F.transform(F.sort_array(placed), lambda x: x.bitwiseAND(F.lit((1 << (63 - PLACE_BITS)) - 1))))
+    return F.xxhash64(F.transform(F.sort_array(placed), lambda x: x.bitwiseAND(bits)))
 
 
 def to_string(signature: Column) -> Column:
@@ -191,9 +196,13 @@ def with_next(docs: DataFrame, order: str, columns: list[str], derive=None, part
     spark = docs.sparkSession
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.select(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    cuts = sorted(set(cuts))
+    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
+    # the number of cuts below a value, by halving
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(cuts).bit_length())))])
+    below = F.aggregate(steps, F.lit(0), lambda lo, s: lo + F.when(F.get(edges, lo + s - 1) < F.col(order), s).otherwise(0))
     derive = derive or (lambda df: df)
-    plain = docs.withColumn("_range", F.when(F.col(order).isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda c: c < F.col(order)))))
+    plain = docs.withColumn("_range", F.when(F.col(order).isNull(), F.lit(0)).otherwise(below))
     keys = [F.col(order).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns]]
     w = Window.partitionBy("_range").orderBy(*keys)
     ranged = derive(plain)

@@ -39,8 +39,17 @@ def brute(text, m=fp.M, k=fp.K, l=fp.L):  # noqa: E741
         else:
             elements.append((h, place))
     out = []
-    for c in fp._constants(m):
-        chosen = sorted(((h ^ c) | place for h, place in elements))[:l]
+    shift = 63 - max(1, (m - 1).bit_length())
+    for j in range(m):
+
+        def rank(element):
+            h, place = element
+            if h >> shift == j:
+                return 0, h, place
+            mixed = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42))
+            return 1, mixed & fp._HASH, place
+
+        chosen = [h | place for _, h, place in sorted(map(rank, elements))[:l]]
         chosen.sort(key=lambda v: v & fp._PLACE)
         inner = x64(*[v >> fp.PLACE_BITS for v in chosen])
         out.append(x64(inner - (1 << 64) if inner >> 63 else inner))
