@@ -84,6 +84,13 @@ def breakpoint_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policy.breakpoint_policy(_pooled(spark, sf_dir), (0.25, -0.25)))
 
 
+def breakpoint_policy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best offsets over all subjects of four rows each, as many as the table gives."""
+    pooled = policy.pool(_scores(spark, sf_dir).withColumn("key", F.expr("id div 4")), "key")
+    subjects = pooled.select((F.col("key") % 3).cast("int").alias("y"), *[F.round(F.col(f"p{k}") + 3e-10, 4).alias(f"p{k}") for k in range(3)])
+    return rounded(policy.breakpoint_policy(subjects, (0.25, -0.25)))
+
+
 def breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Middles between the distinct rounded scores of the first class."""
     return rounded(ranking.midpoints(_scores(spark, sf_dir).select(F.round(F.col("p0") + 3e-10, 3).alias("middle")), "middle"))
@@ -206,7 +213,7 @@ QUERIES = {
     for f in (
         classification_report, score_quality, curve_points, log_loss, label_auc, offset_policy, offset_grid, two_step_policy, recipe_scores,
         pooled_scores, objectives, bootstrap_interval, stratified_folds, nested_folds, fold_composition, feature_statistics, anova_ranking,
-        scaled_matrix, feature_correlations, class_information, matrix_audit, sample_weights, naive_bayes, breakpoint_policy, breakpoints, blend_grid,
+        scaled_matrix, feature_correlations, class_information, matrix_audit, sample_weights, naive_bayes, breakpoint_policy, breakpoint_policy_whole, breakpoints, blend_grid,
         recipe_search,
         bootstrap_percentiles,
     )
@@ -431,6 +438,7 @@ found AS (
     sqrt(power((a + b) / 3, 2) + power(a - (a + b) / 3, 2) + power(b - (a + b) / 3, 2)) AS norm, 1 AS searched FROM points
   UNION ALL SELECT a, b, macro_recall, min_recall, macro_f1, norm, 0 FROM fig)
 SELECT {', '.join(_r(c, c) for c in ('a', 'b', 'macro_recall', 'min_recall', 'macro_f1', 'norm'))} FROM found ORDER BY {_BEST}, searched DESC, a DESC, b DESC LIMIT 1"""
+ORACLE_SQL["breakpoint_policy_whole"] = ORACLE_SQL["breakpoint_policy"].replace("id % 125 AS key", "id // 4 AS key")
 ORACLE_SQL["blend_grid"] = f"""
 WITH raw AS (SELECT {_Y} AS y, {", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(("a0", "a1", "a2", "b0", "b1", "b2")))} FROM embeddings),
 g AS (

@@ -102,6 +102,40 @@ def test_breakpoints_never_lower_recall(spark):
     assert key(best) >= max(map(key, policy.evaluate_offsets(df, policy.grid(grid)).collect()))
 
 
+def test_breakpoints_equal_all_lines(spark):
+    """Levels and blocks leave out nothing: small pieces, ties and repeated cases."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    p = np.round(rng.dirichlet([1, 1, 1], 22), 2) + 0.01
+    y = [int(v) for v in rng.integers(0, 3, 22)] + [0, 1]
+    p = np.vstack([p, p[:2]])
+    df = spark.createDataFrame([(k, *map(float, x)) for k, x in zip(y, p, strict=True)], "y int, p0 double, p1 double, p2 double")
+    logs = np.log(np.clip(p, 1e-12, 1))
+    u, v = logs[:, 0] - logs[:, 2], logs[:, 1] - logs[:, 2]
+    truth = np.array(y)
+
+    def middles(values):
+        d = sorted(set(values))
+        return [d[0] - 1, *[(x + z) / 2 for x, z in zip(d, d[1:], strict=False)], d[-1] + 1]
+
+    def key(a, b):
+        first = u >= v + a
+        said = np.where(np.maximum(u, v + a) < b, 2, np.where(first, 0, 1))
+        recall = [np.mean(said[truth == k] == k) for k in range(3)]
+        f1 = [2 * np.sum((said == k) & (truth == k)) / (np.sum(said == k) + np.sum(truth == k)) for k in range(3)]
+        norm = np.sqrt(np.sum((np.array([0, a, b]) - (a + b) / 3) ** 2))
+        return tuple(round(float(x), 12) for x in (np.mean(recall), min(recall), np.mean(f1), -norm))
+
+    best = max(key(a, b) for a in middles([x - z for x in u for z in v]) for b in middles(np.maximum(u, v + a)))
+    for pieces in (16, 512):
+        got = policy.breakpoint_policy(df, (0.0, 0.0), pieces).first()
+        assert all(math.isclose(x, z, abs_tol=1e-9) for x, z in zip(best, (got["macro_recall"], got["min_recall"], got["macro_f1"], -got["norm"]), strict=True))
+    lacking = df.filter("y <> 1")
+    assert policy.breakpoint_policy(lacking, (0.25, -0.25)).first()["a"] == 0.25
+    assert policy.breakpoint_policy(df.limit(0), (0.25, -0.25)).count() <= 1
+
+
 def test_midpoints(spark):
     values = [3.0, 1.0, 1.0, None, 10.0, 4.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
