@@ -45,7 +45,7 @@ def canonical(url: Column) -> Column:
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^?#]*\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.startswith("utm_")))
     host = F.regexp_replace(host_of(url), r"^www\.", "")
-    path = F.regexp_replace(path_of(url), r"/$", "")
+    path = F.regexp_replace(path_of(url), r"/\z", "")  # \z, as $ also fits before a last line break
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 

@@ -92,3 +92,11 @@ def test_weights(spark):
     assert 1 not in n and abs(n[0] - 2000) < 200 and abs(n[3] - 6000) < 250
     with pytest.raises(ValueError):
         sharding.shard_records(docs, [0.0])
+
+
+def test_canonical_keeps_a_slash_before_a_line_break(spark):
+    from diurna.llm.urlfilter import canonical
+
+    df = spark.createDataFrame([(0, "http://www.a.com/x/"), (1, "http://a.com/x/\n"), (2, None)], "i int, u string")
+    got = {r["i"]: r["c"] for r in df.select("i", canonical(F.col("u")).alias("c")).collect()}
+    assert got == {0: "a.com/x", 1: "a.com/x/\n", 2: ""}
