@@ -99,9 +99,10 @@ def task_rows(rows: DataFrame, task: str, y: str = "y") -> DataFrame:
 
 def branch_candidates(records: DataFrame, branch: str, name: str, figure: str, pair: tuple, k: int = 10) -> DataFrame:
     """All pairs of the ``k`` best records of two branches: ``first, second``."""
-    spark = records.sparkSession
-    best = [[r[0] for r in records.filter(F.col(branch) == side).orderBy(F.round(figure, 10).desc(), name).limit(k).select(name).collect()] for side in pair]
-    return spark.createDataFrame([(a, b) for a in best[0] for b in best[1]], f"first {records.schema[name].dataType.simpleString()}, second {records.schema[name].dataType.simpleString()}")
+    first, second = (
+        records.filter(F.col(branch) == side).orderBy(F.round(figure, 10).desc(), name).limit(k).select(F.col(name).alias(to)) for side, to in zip(pair, ("first", "second"), strict=True)
+    )
+    return first.join(F.broadcast(second))  # k rows each
 
 
 def readable(name: Column) -> Column:
