@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 
 def subject_days(events: DataFrame, subject: str, ts: str, value: str) -> DataFrame:
-    """Events rolled up to ``subject, date`` with four daily metrics."""
-    return events.groupBy(F.col(subject).alias("subject"), F.to_date(ts).alias("date")).agg(
+    """Events rolled up to ``subject, date`` with four daily metrics.
+
+    A day's values are added up in the order of their times, equal times by
+    value, so that sums have the same last bits however the rows are dealt.
+    """
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("v")))
+    days = events.groupBy(F.col(subject).alias("subject"), F.to_date(ts).alias("date")).agg(
         F.count(F.lit(1)).cast("double").alias("n_events"),
-        F.sum(value).alias("sum_value"),
-        F.avg(value).alias("mean_value"),
+        F.array_sort(F.collect_list(known)).alias("_values"),
         F.max(value).alias("max_value"),
     )
+    total = F.when(F.size("_values") > 0, F.aggregate("_values", F.lit(0.0), lambda s, x: s + x["v"]))
+    return days.select("subject", "date", "n_events", total.alias("sum_value"), (total / F.size("_values")).alias("mean_value"), "max_value")
 
 
 def long_form(days: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("subject", "date")) -> DataFrame:

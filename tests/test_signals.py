@@ -211,3 +211,20 @@ def test_permuted_importance_by_hand(spark):
             p, q = [-abs(x[i] - k) for i in x if i % 3 == k], [-abs(x[i] - k) for i in x if i % 3 != k]
             auc.append(sum((a > c) + (a == c) / 2 for a in p for c in q) / len(p) / len(q))
         assert abs(got[1, r] - (1 - sum(auc) / 3)) < 1e-9
+
+
+def test_daily_sums_whatever_the_order_of_rows(spark):
+    from datetime import datetime, timedelta
+
+    from diurna.operators import days
+
+    values = [1.62, 2.32, 14.36, 4.83, None]  # 23.13 or 23.130000000000003, by the order of addition
+    rows = [(7, datetime(2024, 1, 10) + timedelta(hours=i), v) for i, v in enumerate(values)]
+    want = ((1.62 + 2.32) + 14.36) + 4.83
+    for order in (rows, rows[::-1], [rows[i] for i in (3, 4, 1, 2, 0)]):
+        for parts in (1, 3):
+            df = spark.createDataFrame(order, "u int, ts timestamp, v double").repartition(parts)
+            r = days.subject_days(df, "u", "ts", "v").first()
+            assert (r["n_events"], r["sum_value"], r["mean_value"], r["max_value"]) == (5.0, want, want / 4, 14.36)
+    none = spark.createDataFrame([rows[4]], "u int, ts timestamp, v double")
+    assert days.subject_days(none, "u", "ts", "v").first()["sum_value"] is None
