@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from diurna.operators import areas, learners, policy
+from diurna.operators import areas, folds, learners, policy
 
 
 def plain_auc(y, p):
@@ -69,3 +70,34 @@ def test_permuted_matrices_equal_permuted_tables(spark):
             out.append({(r["feature"], r["repeat"]): r["drop"] for r in rows})
         assert len(out[0]) == 3 * (3 if groups is None else 2) and out[0] == pytest.approx(out[1], abs=1e-12)
     assert hasattr(fast, "proba") and len(asked) == 4
+
+
+def test_neighbours_among_copies(spark):
+    """Equal distances go to the least neighbour; blocks of a class are no more than SPLITS until a block is full."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(12, 5)), 5, 0)  # five copies of each
+    ids = rng.permutation(60)
+    rows = spark.createDataFrame([(int(s), 0, list(map(float, v))) for s, v in zip(ids, x, strict=True)], "subject long, y int, x array<double>")
+    data = rows.select("subject", "y", array_to_vector("x").alias("features"))
+    for block in (2, 7, 100):
+        got = {(r["subject"], r["rank"]): r["neighbour"] for r in learners.neighbours(data, 7, block).collect()}
+        assert len(got) == 7 * 60
+        for i, s in enumerate(ids):
+            d = [(float(np.sqrt(((x[i] - z) ** 2).sum())), int(t)) for t, z in zip(ids, x, strict=True) if t != s]
+            assert [got[s, r] for r in range(7)] == [t for _, t in sorted(d)[:7]]
+
+
+def test_bootstrap_over_pages(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(folds, "PAGE", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    cases = [(i, i % 2, i % 7) for i in range(31)]
+    df = folds.bootstrap(spark.createDataFrame(cases, "id long, y int, predicted int"), 4, 9)
+    ranked = {y: [p for _, p in sorted((hashlib.md5(f"9:{i}".encode()).hexdigest(), p) for i, c, p in cases if c == y)] for y in (0, 1)}
+    draw = lambda r, y, i: ranked[y][int(hashlib.md5(f"9:{r}:{y}:{i}".encode()).hexdigest()[:12], 16) % len(ranked[y])]
+    want = sorted((r, y, draw(r, y, i + 1)) for r in range(4) for y in (0, 1) for i in range(len(ranked[y])))
+    assert sorted(map(tuple, df.collect())) == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan  # draws stay where they are made
