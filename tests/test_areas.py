@@ -101,3 +101,18 @@ def test_bootstrap_over_pages(spark, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan  # draws stay where they are made
+
+
+def test_folds_compute_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, i % 3, [float(i % 3), float(i % 5)]) for i in range(30)], "subject long, y int, x array<double>")
+    data = rows.mapInArrow(passed, rows.schema).select("subject", "y", array_to_vector("x").alias("features"))
+    dealt = rows.select("subject", (F.col("subject") % 3).cast("int").alias("fold"))
+    assert learners.out_of_fold(learners.logistic(1.0), data, dealt, 3).count() == 30
+    assert seen.value == 30
