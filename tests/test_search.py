@@ -47,6 +47,24 @@ def test_shapley_values(spark):
     assert learners.background_rows(vectors(spark, x), 1, 4).shape == (4, 4)
 
 
+def test_shapley_values_of_linear_scores(spark):
+    """Running sums give what scoring each step does, and the link sees all steps of an order at once."""
+    rng = np.random.default_rng(8)
+    x, base, w, c = rng.normal(size=(5, 6)), rng.normal(size=(9, 6)), rng.normal(size=(3, 6)), rng.normal(size=3)
+
+    def link(z, axis):
+        if z.ndim == 2 and z.shape != (9, 3):
+            raise ValueError("a step scored by itself")
+        e = np.exp(z)
+        return e / e.sum(axis, keepdims=True)
+
+    plain = lambda a: np.exp(a @ w.T + c) / np.exp(a @ w.T + c).sum(1, keepdims=True)
+    key = lambda r: (r["subject"], r["feature"], r["klass"])
+    got, want = ({key(r): r["contribution"] for r in learners.shapley_values(vectors(spark, x), s, base, 2, 2).collect()} for s in (learners.LinearScore(w, c, link), plain))
+    assert len(got) == 5 * 6 * 3 and set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_parameter_search_goes_on(spark, monkeypatch):
     rng = np.random.default_rng(5)
     y = np.arange(60) % 3
