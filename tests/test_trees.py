@@ -93,6 +93,52 @@ def test_bins(spark, most):
     assert ((held == 0) == np.isnan(x)).all() and held.max() <= most
 
 
+@pytest.mark.parametrize("most,cuts", [(63, 512), (63, 4), (7, 4), (7, 30)])
+def test_bins_whatever_the_cuts(spark, monkeypatch, most, cuts):
+    monkeypatch.setattr(trees, "CUTS", cuts)
+    r = np.random.default_rng(3)
+    n = 900
+    rare = np.where(r.random(n) < 0.97, 1.0, r.integers(0, 40, n).astype(float))  # one value nearly everywhere
+    x = np.stack([r.normal(size=n), rare, np.arange(n) % most, np.arange(n) % (most + 1), np.full(n, np.nan), np.exp(9 * r.normal(size=n)), np.full(n, 2.0)], 1)
+    x[r.random(x.shape) < 0.1] = np.nan
+    x[0, :2], x[1, 0], x[2, 2], x[3, 2] = [np.inf, -0.0], -np.inf, -0.0, 0.0
+    rows = [(i, 0, [None if math.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)]
+    table = spark.createDataFrame([*rows, (n, 0, None), (n + 1, 0, []), (n + 2, 0, [5.0])], "subject long, y int, x array<double>").repartition(3)
+    got = trees.bins(table, most).collect()
+    x = np.vstack([x, [5.0, *[np.nan] * 6]])  # a short row lacks its last features
+    want = plain_bins(np.where(x == 0, 0.0, x), most)
+    for f, b in enumerate(want):
+        mine = sorted((g for g in got if g["feature"] == f), key=lambda g: g["bin"])
+        v = x[~np.isnan(x[:, f]), f]
+        at = np.searchsorted(b, v, side="left")
+        assert [g["threshold"] for g in mine[:-1]] == b.tolist() and [g["bin"] for g in mine] == sorted(set(at + 1))
+        assert [(g["low"], g["high"], g["n"]) for g in mine] == [(v[at == i].min(), v[at == i].max(), (at == i).sum()) for i in sorted(set(at))]
+    assert {g["feature"] for g in got} == {0, 1, 2, 3, 5, 6}
+    assert trees.bins(table.limit(0), most).collect() == []
+
+
+def shuffled_rows(spark, work):
+    """Rows that stages wrote to shuffles while ``work`` ran."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    work()
+    return sum(n for stage, n in total().items() if stage not in before)
+
+
+def test_bins_shuffle_few_of_the_values(spark):
+    data = spark.range(0, 60_000, numPartitions=2).select(F.col("id").alias("subject"), F.lit(0).alias("y"), F.array(*[F.xxhash64("id", F.lit(k)).cast("double") for k in range(4)]).alias("x"))
+    out = []
+    assert shuffled_rows(spark, lambda: out.extend(trees.bins(data).collect())) < 4 * 60_000
+    assert len(out) == 4 * 63 and sum(r["n"] for r in out) == 4 * 60_000
+
+
 @pytest.mark.parametrize("classes,leaves,rounds", [(3, 4, 2), (2, 6, 2)])
 def test_boosting_equals_a_plain_build(spark, classes, leaves, rounds):
     data, x, y, w = table(spark, 120, classes=classes)
