@@ -77,9 +77,11 @@ def _shares(p: np.ndarray) -> np.ndarray:
 def fit(data: DataFrame, features: Sequence[str], members: Sequence[Member], weights: Sequence[Sequence[float]], offsets: Sequence[float], parameters: dict[str, dict]) -> Champion:
     """Fit each named model on its own task's rows: all for ``dem``, the first two classes for ``cn_mci``.
 
-    Bins are cut once, on all rows given, and shared by the models.
+    Rows are written once for all models; bins are cut once, on all rows given,
+    and shared by the models.
     """
-    edges = trees.thresholds(trees.bins(trees.rows_of(data)), len(features))
+    data = checkpointed(trees.rows_of(data))
+    edges = trees.thresholds(trees.bins(data), len(features))
     tasks = {m.dem: "dem" for m in members} | {m.cn_mci: "cn_mci" for m in members}
     models = {}
     for name, task in sorted(tasks.items()):
