@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def subject_days(events: DataFrame, subject: str, ts: str, value: str) -> DataFrame:
+def subject_days(events: DataFrame, subject: str, ts: str, value: str, order: str | None = None) -> DataFrame:
     """Events rolled up to ``subject, date`` with four daily metrics.
 
-    A day's values are added up in the order of their times, equal times by
-    value, so that sums have the same last bits however the rows are dealt.
+    A day's values are added up by ``order``, or else by their times, equal ones
+    by value, so that sums have the same last bits however the rows are dealt.
     """
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("v")))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(order or ts).alias("t"), F.col(value).cast("double").alias("v")))
     days = events.groupBy(F.col(subject).alias("subject"), F.to_date(ts).alias("date")).agg(
         F.count(F.lit(1)).cast("double").alias("n_events"),
         F.array_sort(F.collect_list(known)).alias("_values"),

@@ -267,3 +267,16 @@ def test_daily_sums_whatever_the_order_of_rows(spark):
             assert (r["n_events"], r["sum_value"], r["mean_value"], r["max_value"]) == (5.0, want, want / 4, 14.36)
     none = spark.createDataFrame([rows[4]], "u int, ts timestamp, v double")
     assert days.subject_days(none, "u", "ts", "v").first()["sum_value"] is None
+
+
+def test_events_of_one_time_are_summed_by_their_numbers(spark, tmp_path):
+    """As SQL on one thread adds them up where a table holds copies of a user's events; before, by value."""
+    from diurna.plans import bindings
+
+    values = [14.36, 1.62, 4.83, 2.32]
+    rows = [(i, datetime.datetime(2024, 1, 10), 7, "view", v) for i, v in enumerate(values)]
+    want = ((14.36 + 1.62) + 4.83) + 2.32
+    assert want != ((1.62 + 2.32) + 4.83) + 14.36
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    for r in (bindings.daily(spark, str(tmp_path)).first(), bindings.two_modalities(spark, str(tmp_path))[0].first()):
+        assert (r["sum_value"], r["mean_value"]) == (want, want / 4)
